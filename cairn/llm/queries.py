@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import mixing, quality, sharding
+from cairn.llm import exact, mixing, packing, pii, quality, sharding, tokens, toxicity
 from cairn.llm.common import table
 
 SHARD_COUNT = 40
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,15 +18,49 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.even(SHARD_COUNT), sharding.even(SHARD_COUNT + 1))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_shard_tree, op10_host_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_find_pii,
+        op3_score_toxicity,
+        op4_shard_tree,
+        op6_exact_dedup,
+        op8_pack_sequences,
+        op9_count_tokens,
+        op10_host_rules,
+    )
+}
+#: None of these is expressed in SQL; each is tested against a brute-force version.
 SQL: dict[str, str] = {}
