@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import own_names, store, text_or_empty
-from cairn.llm.tokens import load, spliced
+from cairn.llm.tokens import load, small, spliced
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,8 +29,8 @@ END_ID = 0
 GROUP, REPACK = 4096, 32
 #: A sequence with this many places left is repacked.
 LOOSE = 32
-#: Fillings tried around a piece, steps to enumerate them, and completions in a search.
-FILLINGS, STEPS, NODES = 3, 400, 20_000
+#: Fillings tried around a piece, steps to enumerate them, and steps of a whole search besides those of its first dive.
+FILLINGS, STEPS, SEARCH = 3, 200, 50_000
 #: Characters above which a text is encoded in chunks.
 LONG = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,19 +43,17 @@ class Stock:
 
     def __init__(self, lengths: Iterable[int]):
         self.counts: dict[int, int] = {}
-        self.mask = self.total = self.items = 0
+        self.mask = self.items = self.steps = 0
         for n in lengths:
             self.add(n)
 
     def add(self, n: int) -> None:
         self.counts[n] = self.counts.get(n, 0) + 1
         self.mask |= 1 << n
-        self.total += n
         self.items += 1
 
     def take(self, n: int) -> None:
         self.counts[n] -= 1
-        self.total -= n
         self.items -= 1
         if not self.counts[n]:
             self.mask &= ~(1 << n)
@@ -80,6 +78,7 @@ def fillings(stock: Stock, room: int, most: int = FILLINGS, steps: int = STEPS)
             return space == 0
         while n >= 0 and left > 0:
             left -= 1
+            stock.steps += 1
             stock.take(n)
             done = grow(space - n, n, (*have, n))
             stock.add(n)
@@ -125,8 +124,8 @@ def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths, as few as the search proves or finds within its nodes.  Lengths of 0 need no room."""
+def complete(lengths: list[int], capacity: int, search: int = SEARCH) -> list[list[int]]:
+    """Bins of lengths, as few as the search proves or finds: one dive, then steps up to `search`."""
     incumbent = best_fit(lengths, capacity)
     bound = -(-sum(lengths) // capacity)
     if len(incumbent) <= bound:
@@ -135,7 +134,7 @@ def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list
     slack = lambda: (len(incumbent) - 1) * capacity - sum(lengths)  # noqa: E731  waste that a better packing may have
     allowed, waste = slack(), 0
     path: list[list] = []  # [largest, fillings left, filling in use]
-    budget = nodes
+    dived = False
 
     def undo(level: list) -> None:
         nonlocal waste
@@ -149,7 +148,9 @@ def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list
             if len(incumbent) <= bound:
                 return incumbent
             allowed = slack()
-        elif budget > 0:
+            if not dived:
+                dived, stock.steps = True, 0
+        else:
             top = stock.largest(capacity)
             stock.take(top)
             path.append([top, fillings(stock, capacity - top)[::-1], None])
@@ -159,14 +160,15 @@ def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list
             if level[2] is not None:
                 undo(level)
                 level[2] = None
-            if level[1] and budget > 0:
-                budget -= 1
+            if level[1] and (not dived or stock.steps < search):
                 level[2] = level[1].pop()
                 for n in level[2]:
                     stock.take(n)
                 waste += capacity - level[0] - sum(level[2])
                 if waste <= allowed:
                     break
+                if not dived:
+                    dived, stock.steps = True, 0
                 continue
             stock.add(level[0])
             path.pop()
@@ -181,7 +183,6 @@ def encoder(path: str):
     an added token's string, huge ones, and files of other kinds go through tokenizers."""
     import tiktoken
 
-    slow = load(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
@@ -202,10 +203,10 @@ def encoder(path: str):
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG:
-            return [i for part in spliced(slow, text) for i in part]
+            return [i for part in spliced(load(path), text) for i in part]
         if fast and not any(a in text for a in added):
             return fast(text)
-        return slow.encode(text, add_special_tokens=False).ids
+        return load(path).encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -221,7 +222,7 @@ def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
 def to_pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text), end_id], dtype="<u4")

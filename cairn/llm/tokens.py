@@ -100,10 +100,17 @@ def count_texts(tokenizer, texts: list[str]) -> list[int]:
     return counts
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: few texts are Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def count_batches(path: str, limit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             counts = count_texts(tokenizer, texts)
             yield pa.RecordBatch.from_arrays(
