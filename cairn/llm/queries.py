@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact, mixing, packing, pii, quality, sharding, tokens, toxicity
+from cairn.llm import exact, language, mixing, near, packing, pii, quality, sharding, tokens, toxicity
 from cairn.llm.common import table
 
 SHARD_COUNT = 40
@@ -32,10 +32,18 @@ def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"), size=4)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -56,7 +64,9 @@ QUERIES = {
         op2_find_pii,
         op3_score_toxicity,
         op4_shard_tree,
+        op5_near_dedup,
         op6_exact_dedup,
+        op7_language_model,
         op8_pack_sequences,
         op9_count_tokens,
         op10_host_rules,
