@@ -5,8 +5,10 @@
    value of the first non-empty bin in a random order of its own.  BANDS bands of ROWS bins give a class its buckets.
 3. Stars: every bucket gets hubs, and its classes are candidates of the hubs only, so a bucket of n gives n pairs a
    hub, not n squared.  Candidates are confirmed on full sets and linked.  Buckets whose classes are not all in one
-   component yet get new hubs, twice as many each turn, those of larger components first, until every class of such a
-   bucket has been a hub or all are connected: no pair of a bucket that could connect it remains unconfirmed.
+   component yet get new hubs, linked classes first, twice as many each turn, until every class of such a bucket has
+   been a hub or all are connected: no pair of a bucket that could connect it remains unconfirmed.  Before each new
+   turn, classes that can have no partner are left out: a partner must hold most of their shingles, so those that
+   occur in no other class of the open buckets are counted, and a class with too many of them is alone there.
 4. Components of the links give the classes of documents.
 """
 
@@ -184,8 +186,35 @@ def compare(size: int, percent: int):
     return run
 
 
+def exploded(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 64):
+            for rep, found in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text").to_pylist(), size), strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), rep), pa.int64()), pa.array(np.full(len(found), len(found)), pa.int64()), pa.array(found.view(np.int64))], names=["rep", "n", "h"]
+                )
+
+    return run
+
+
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """Rows of buckets that hold two components and two classes that were no hubs; with the least set size, low_n."""
+    found = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count_if(~F.col("served")).alias("left"), F.min("n").alias("low_n"))
+    return labelled.join(found.where((F.col("low") < F.col("high")) & (F.col("left") > 1)).select("key", "low_n"), "key")
+
+
+def with_partners(state: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows of classes that may have a partner in their bucket.  Sets of n and m at the threshold share
+    percent / (100 + percent) * (n + m) shingles, and what they share occurs in two classes of open buckets."""
+    involved = texts.join(state.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    single = involved.mapInArrow(exploded(size), "rep long, n long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rep", "n")).alias("x"))
+    alone = single.where(F.col("times") == 1).groupBy(F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("own"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    return state.join(alone, ["rep", "n"], "left").where((100 + percent) * shared >= percent * (F.col("n") + F.col("low_n"))).drop("own", "low_n")
+
+
 def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that are linked, from members(key, rep) of buckets and texts(doc_id, text)."""
+    """node, component of the classes that are linked, from members(key, rep, n) of buckets and texts(doc_id, text)."""
     state = members.withColumn("served", F.lit(False))
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -197,10 +226,10 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         else:
             whole = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
             labelled = state.join(whole, F.col("rep") == F.col("node"), "left")
-            labelled = labelled.select("key", "rep", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
-        unsettled = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count_if(~F.col("served")).alias("left"))
-        unsettled = unsettled.where((F.col("low") < F.col("high")) & (F.col("left") > 1)).select("key")
-        state = store(labelled.join(unsettled, "key"), "near-state")
+            labelled = labelled.select("key", "rep", "n", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
+        state = store(open_buckets(labelled), "near-open")
+        if turn:
+            state = store(open_buckets(with_partners(state, texts, size, percent)), "near-open")
         slot = F.pmod(F.xxhash64("rep"), F.lit(1 << min(turn, 30)))
         rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"))
         hubs = state.where(~F.col("served")).groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("best"))
@@ -221,7 +250,7 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             # stars that are known stand for the links before
             known = components(found if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "near-components")
         used = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        state = state.join(used, ["key", "rep"], "left").select("key", "rep", (F.col("served") | F.col("now").isNotNull()).alias("served"))
+        state = state.join(used, ["key", "rep"], "left").select("key", "rep", "n", (F.col("served") | F.col("now").isNotNull()).alias("served"))
         turn += 1
 
 
@@ -235,8 +264,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     rows = own_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     sketches = store(rows.mapInArrow(sketch(size), SKETCH), "near-sketches")
     usable = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = store(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    places = classes.select("rep", F.explode("bands").alias("key"))
+    classes = store(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
+    places = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = places.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") < F.col("high")).select("key")
     members = store(places.join(shared, "key").distinct(), "near-members")
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
