@@ -5,7 +5,7 @@
    value of the first non-empty bin in a random order of its own.  BANDS bands of ROWS bins give a class its buckets.
 3. Stars: every bucket gets hubs, and its classes are candidates of the hubs only, so a bucket of n gives n pairs a
    hub, not n squared.  Candidates are confirmed on full sets and linked.  Buckets whose classes are not all in one
-   component yet get new hubs, linked classes first, twice as many each turn, until every class of such a bucket has
+   component yet get new hubs, linked classes first, GROWTH times as many each turn, until every class of such a bucket has
    been a hub or all are connected: no pair of a bucket that could connect it remains unconfirmed.  Before each new
    turn, classes that can have no partner are left out: a partner must hold most of their shingles, so those that
    occur in no other class of the open buckets are counted, and a class with too many of them is alone there.
@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 #: A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 1e-7.
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
+#: From its second turn on, an open bucket has so many times the hubs of the turn before.
+GROWTH = 16
 #: Bytes of text whose shingles are hashed at once.
 BLOCK = 1 << 20
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
@@ -210,12 +212,13 @@ def with_partners(state: DataFrame, texts: DataFrame, size: int, percent: int) -
     single = involved.mapInArrow(exploded(size), "rep long, n long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rep", "n")).alias("x"))
     alone = single.where(F.col("times") == 1).groupBy(F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("own"))
     shared = F.col("n") - F.coalesce("own", F.lit(0))
-    return state.join(alone, ["rep", "n"], "left").where((100 + percent) * shared >= percent * (F.col("n") + F.col("low_n"))).drop("own", "low_n")
+    kept = state.drop("shared").join(alone, ["rep", "n"], "left").withColumn("shared", shared).drop("own")
+    return kept.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low_n"))).drop("low_n")
 
 
 def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """node, component of the classes that are linked, from members(key, rep, n) of buckets and texts(doc_id, text)."""
-    state = members.withColumn("served", F.lit(False))
+    state = members.withColumns({"served": F.lit(False), "shared": F.col("n")})
     links: DataFrame | None = None
     tried: DataFrame | None = None
     known: DataFrame | None = None
@@ -226,17 +229,18 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         else:
             whole = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
             labelled = state.join(whole, F.col("rep") == F.col("node"), "left")
-            labelled = labelled.select("key", "rep", "n", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
+            labelled = labelled.select("key", "rep", "n", "shared", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
         state = store(open_buckets(labelled), "near-open")
         if turn:
             state = store(open_buckets(with_partners(state, texts, size, percent)), "near-open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(1 << min(turn, 30)))
-        rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(GROWTH ** max(0, turn - 1)))
+        rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
         hubs = state.where(~F.col("served")).groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("best"))
-        hubs = store(hubs.select("key", "best.hub", "best.hub_of"), "near-hubs")
+        hubs = store(hubs.select("key", "best.hub", "best.hub_of", "best.hub_n", "best.hub_shared"), "near-hubs")
         if hubs.isEmpty():
             return known
-        pairs = state.join(hubs, "key").where(F.col("of") != F.col("hub_of"))
+        able = (100 + percent) * F.least("shared", "hub_shared") >= percent * (F.col("n") + F.col("hub_n"))
+        pairs = state.join(hubs, "key").where((F.col("of") != F.col("hub_of")) & able)
         pairs = pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -250,7 +254,7 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             # stars that are known stand for the links before
             known = components(found if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "near-components")
         used = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        state = state.join(used, ["key", "rep"], "left").select("key", "rep", "n", (F.col("served") | F.col("now").isNotNull()).alias("served"))
+        state = state.join(used, ["key", "rep"], "left").select("key", "rep", "n", "shared", (F.col("served") | F.col("now").isNotNull()).alias("served"))
         turn += 1
 
 
