@@ -3,8 +3,313 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import scalars as X
+from cairn.operators import catalog as C
+from cairn.operators import ingest as I  # noqa: E741
+from cairn.operators import lifecycle as L
+from cairn.operators import replicas as R
+from cairn.operators import stats as S
+from cairn.plans.tables_sql import TABLES
+from cairn.sources.vault import NOW, Vault, load
+from cairn.streaming import walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Versions that single-version queries look at.
+ONE, TWO = 7, 32
+CUTOFF, DAY = datetime(2001, 1, 1), datetime(2001, 7, 31)
+TS = "TIMESTAMP '2001-08-02'"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[Vault], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(load(spark, sf_dir))
+        if sql is not None:
+            SQL[name] = TABLES + sql
+        return f
+
+    return add
+
+
+def asked(t: Vault) -> DataFrame:
+    """All file rows as requests; every seventh names an unknown content."""
+    n = (F.col("version_id") * 100 + F.substring("path", 3, 1).cast("int") * 10 + F.substring("path", 6, 1).cast("int")).cast("bigint")
+    sha = F.when(F.col("version_id") % 7 == 0, F.lit("f" * 64)).otherwise(F.col("sha256"))
+    return t.files.select(n.alias("ordinal"), "path", sha.alias("sha256"), "mtime")
+
+
+ASKED = f"""asked AS (SELECT CAST(version_id * 100 + CAST(substr(path, 3, 1) AS INTEGER) * 10 + CAST(substr(path, 6, 1) AS INTEGER) AS BIGINT) AS ordinal, path,
+  CASE WHEN version_id % 7 = 0 THEN '{"f" * 64}' ELSE sha256 END AS sha256, mtime FROM vf)"""
+
+query("reclaimable_bytes", "SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS reclaimable_bytes FROM fc WHERE sha256 NOT IN (SELECT sha256 FROM vf WHERE version_id IN (SELECT id FROM keep_loose))")(
+    lambda t: C.reclaimable_bytes(t.versions, t.files, t.contents)
+)
+query(
+    "version_stats",
+    "SELECT id, label, version_key, status, coalesce(n_files, 0) AS n_files, coalesce(total_size, 0) AS total_size, epoch_us(finished_at) / 1e6 - epoch_us(created_at) / 1e6 AS duration_s FROM v LEFT JOIN fs ON id = version_id",
+)(lambda t: C.version_stats(t.versions, t.files, t.contents))
+LIST = """, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY created_at DESC, id DESC) AS rn FROM done) WHERE rn = 1),
+states AS (SELECT label, count(*) FILTER (status = 'done') AS n_done, bool_or(status = 'running') AS running FROM v GROUP BY label)
+SELECT l.label, coalesce(n_done, 0) AS n_done, version_key AS latest_key, coalesce(n_files, 0) AS n_files, coalesce(total_size, 0) AS total_size, coalesce(running, FALSE) AS has_running, username AS owner
+FROM labels_ l LEFT JOIN states USING (label) LEFT JOIN latest ON latest.label = l.label LEFT JOIN fs ON latest.id = fs.version_id LEFT JOIN users_ u ON u.id = l.owner_user_id"""
+query("backup_list", LIST)(lambda t: C.backup_list(t.labels, t.versions, t.files, t.contents, t.users))
+query("backup_info", LIST + " WHERE l.label = 'BUILDING/1'")(lambda t: C.backup_list(t.labels, t.versions, t.files, t.contents, t.users).where(F.col("label") == "BUILDING/1"))
+query("backup_list_of_owner", LIST + " WHERE l.owner_user_id = 2")(lambda t: C.backup_list(C.visible(t.labels, 2, "user"), t.versions, t.files, t.contents, t.users))
+query(
+    "stats_counts",
+    """, x AS (SELECT l.label, id, v.status FROM labels_ l LEFT JOIN v USING (label) WHERE l.status = 'active'),
+y AS (SELECT count(DISTINCT label) AS n_labels, count(id) AS n_versions, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'failed') AS n_failed FROM x)
+SELECT *, CASE WHEN n_done + n_failed > 0 THEN n_done * 100.0::DOUBLE / (n_done + n_failed) ELSE 100.0::DOUBLE END AS success_rate FROM y""",
+)(lambda t: S.counts(t.labels, t.versions))
+query("stats_avg_duration", "SELECT CAST(sum(s) AS DOUBLE) / count(s) AS avg_seconds FROM (SELECT CAST((epoch_us(finished_at) - epoch_us(created_at)) // 1000000 AS BIGINT) AS s FROM done WHERE finished_at IS NOT NULL)")(
+    lambda t: S.average_duration(t.versions)
+)
+query(
+    "stats_storage",
+    ", x AS (SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(used) AS BIGINT) AS used, CAST(sum(free) AS BIGINT) AS free FROM vol WHERE NOT degraded) SELECT *, used * 100.0::DOUBLE / total AS used_pct FROM x",
+)(lambda t: S.storage(t.volumes))
+query(
+    "stats_dedup",
+    """, u AS (SELECT count(*) AS n_contents, CAST(sum(size) AS BIGINT) AS stored FROM fc), r AS (SELECT count(*) AS n_refs, CAST(sum(size) AS BIGINT) AS logical FROM vf JOIN fc USING (sha256))
+SELECT *, greatest(logical - stored, 0) AS saved, CAST(logical AS DOUBLE) / stored AS ratio FROM u, r""",
+)(lambda t: S.dedup(t.files, t.contents))
+query("stats_trend_30d", f"SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n_versions, CAST(coalesce(sum(total_size), 0) AS BIGINT) AS total_size FROM done LEFT JOIN fs ON id = version_id WHERE created_at >= {TS} - INTERVAL 30 DAY GROUP BY 1")(
+    lambda t: S.trend(t.versions, t.files, t.contents, NOW)
+)
+query("stats_top_backups", "SELECT label, coalesce(n_files, 0) AS n_files, coalesce(total_size, 0) AS total_size FROM last_id LEFT JOIN fs ON id = version_id ORDER BY total_size DESC, label LIMIT 10")(
+    lambda t: S.top_labels(t.versions, t.files, t.contents)
+)
+query("stats_maintenance_by_type", "SELECT job_type, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'error') AS n_error, max(started_at) AS last_run FROM jobs GROUP BY 1")(
+    lambda t: S.maintenance_by_type(t.jobs)
+)
+query("stats_last_jobs", "SELECT id, job_type, status, started_at FROM jobs ORDER BY started_at DESC, id DESC LIMIT 5")(lambda t: S.last_jobs(t.jobs))
+query("stats_rclone", "SELECT count(*) AS n_jobs, count(*) FILTER (enabled) AS n_enabled FROM clouds")(lambda t: S.cloud_counts(t.cloud_jobs))
+query(
+    "stats_label_lifecycle",
+    f""", n AS (SELECT count(DISTINCT label) AS n_labels FROM v WHERE created_at >= {TS} - INTERVAL 30 DAY),
+j AS (SELECT CAST(coalesce(sum(CAST(regexp_extract(summary, '(\\d+) versoes removidas', 1) AS BIGINT)), 0) AS BIGINT) AS n_cleaned,
+  CAST(coalesce(sum(CAST(CAST(regexp_extract(summary, '(\\d+(?:\\.\\d+)?) MB', 1) AS DOUBLE) * 1048576 AS BIGINT)), 0) AS BIGINT) AS freed_bytes FROM jobs WHERE started_at >= TIMESTAMP '2024-01-01' AND summary IS NOT NULL)
+SELECT * FROM n, j""",
+)(lambda t: S.label_lifecycle(t.versions, t.jobs, NOW, datetime(2024, 1, 1)))
+query("stats_activity", "SELECT l.label, max(CASE WHEN v.status = 'done' THEN finished_at END) AS last_done_at, count(*) FILTER (v.status = 'done') AS n_done FROM labels_ l LEFT JOIN v USING (label) WHERE l.status = 'active' GROUP BY 1")(
+    lambda t: S.label_activity(t.labels, t.versions)
+)
+query(
+    "stats_reclaimable_by_label",
+    """, kept AS (SELECT DISTINCT sha256 FROM vf WHERE version_id IN (SELECT id FROM last_id)), old AS (SELECT id, label FROM done WHERE id NOT IN (SELECT id FROM last_id)),
+held AS (SELECT DISTINCT label, sha256 FROM old JOIN vf ON id = version_id), x AS (SELECT label, CAST(sum(size) AS BIGINT) AS reclaimable FROM held JOIN fc USING (sha256) WHERE sha256 NOT IN (SELECT sha256 FROM kept) GROUP BY 1)
+SELECT label, reclaimable, n_old FROM x JOIN (SELECT label, count(*) AS n_old FROM old GROUP BY 1) USING (label) WHERE reclaimable > 0""",
+)(lambda t: S.reclaimable_by_label(t.versions, t.files, t.contents))
+query(
+    "activity_running",
+    """, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY created_at DESC, id DESC) AS rn FROM done) WHERE rn = 1)
+SELECT v.id, v.label, coalesce(a.n_files, 0) AS n_files, coalesce(a.total_size, 0) AS total_size, b.total_size AS previous_size
+FROM v LEFT JOIN latest ON latest.label = v.label LEFT JOIN fs a ON a.version_id = v.id LEFT JOIN fs b ON b.version_id = latest.id WHERE v.status = 'running'""",
+)(lambda t: S.running(t.versions, t.files, t.contents))
+CHANGES = """, prev AS (SELECT *, lag(id) OVER (PARTITION BY label ORDER BY version_key) AS previous_id FROM done),
+cur AS (SELECT prev.id, path, sha256 FROM prev JOIN vf ON prev.id = version_id), bef AS (SELECT prev.id, path, sha256 FROM prev JOIN vf ON previous_id = version_id),
+diff AS (SELECT coalesce(cur.id, bef.id) AS id, count(*) FILTER (bef.sha256 IS NULL) AS added, count(*) FILTER (cur.sha256 <> bef.sha256) AS modified, count(*) FILTER (cur.sha256 IS NULL) AS removed
+  FROM cur FULL JOIN bef ON cur.id = bef.id AND cur.path = bef.path GROUP BY 1),
+changes AS (SELECT prev.id, coalesce(added, 0) AS added, coalesce(modified, 0) AS modified, coalesce(removed, 0) AS removed FROM prev LEFT JOIN diff USING (id))"""
+query("version_changes", CHANGES + " SELECT * FROM changes")(lambda t: C.change_counts(C.previous_done(t.versions).select("id", "previous_id"), t.files))
+query(
+    "activity_recent_diffs",
+    CHANGES + f", ended AS (SELECT * FROM v WHERE finished_at >= {TS} - INTERVAL 24 HOUR ORDER BY finished_at DESC, id DESC LIMIT 30) SELECT e.id, label, status, added, modified, removed FROM ended e LEFT JOIN changes USING (id)",
+)(lambda t: S.recent_diffs(t.versions, t.files, NOW))
+query("activity_jobs", "SELECT id, job_type, status, started_at FROM jobs WHERE status = 'running' OR started_at >= TIMESTAMP '2024-01-29' ORDER BY started_at DESC, id DESC LIMIT 20")(lambda t: S.recent_jobs(t.jobs, datetime(2024, 1, 30)))
+query(
+    "daily_digest",
+    CHANGES
+    + """ SELECT label, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status NOT IN ('done', 'failed')) AS n_other,
+CAST(coalesce(sum(added), 0) AS BIGINT) AS added, CAST(coalesce(sum(modified), 0) AS BIGINT) AS modified, CAST(coalesce(sum(removed), 0) AS BIGINT) AS removed
+FROM v LEFT JOIN changes USING (id) WHERE created_at >= TIMESTAMP '2001-07-31' AND created_at < TIMESTAMP '2001-08-01' GROUP BY label""",
+)(lambda t: S.daily_digest(t.versions, t.files, DAY, DAY + timedelta(days=1)))
+query("digest_new_bytes", "SELECT count(*) AS n_contents, CAST(coalesce(sum(size), 0) AS BIGINT) AS n_bytes FROM fc WHERE created_at >= TIMESTAMP '2001-07-31' AND created_at < TIMESTAMP '2001-08-01'")(
+    lambda t: t.contents.where((F.col("created_at") >= L.at(DAY)) & (F.col("created_at") < L.at(DAY + timedelta(days=1)))).agg(F.count(F.lit(1)).alias("n_contents"), C.total("size").alias("n_bytes"))
+)
+query(
+    "disk_usage",
+    """, x AS (SELECT volume_path, count(*) AS n_copies, CAST(sum(size) AS BIGINT) AS n_bytes FROM cp JOIN fc USING (sha256) GROUP BY 1)
+SELECT path, coalesce(n_copies, 0) AS n_copies, coalesce(n_bytes, 0) AS n_bytes, CASE WHEN degraded THEN 'degraded' ELSE 'ok' END AS status FROM vol LEFT JOIN x ON path = volume_path""",
+)(lambda t: S.disk_usage(t.copies, t.contents, t.volumes))
+query("disk_history", "SELECT id, volume_path, used_pct, sampled_at FROM (SELECT *, row_number() OVER (PARTITION BY volume_path ORDER BY sampled_at DESC, id DESC) AS rn FROM samples) WHERE rn <= 48")(lambda t: S.kept_samples(t.samples))
+query("disk_snapshot_throttle")(lambda t: S.kept_samples(S.throttled(t.samples)))
+DISKS = """, held AS (SELECT DISTINCT label, version_id, sha256 FROM keep_done JOIN vf ON id = version_id)
+SELECT label, volume_path, count(*) AS n_contents, CAST(sum(size) AS BIGINT) AS n_bytes FROM held JOIN cp USING (sha256) JOIN fc USING (sha256)"""
+query("disk_summary_all", DISKS + " GROUP BY 1, 2")(lambda t: S.label_disks(t.versions, t.files, t.copies, t.contents))
+query("backup_disks", DISKS + " WHERE label = 'BUILDING/1' GROUP BY 1, 2")(lambda t: S.label_disks(t.versions.where(F.col("label") == "BUILDING/1"), t.files, t.copies, t.contents))
+
+query(
+    "check_files",
+    f", {ASKED} SELECT ordinal, a.path, m.path IS NULL AS needs_upload, m.path IS NOT NULL OR fc.sha256 IS NOT NULL AS content_exists, CASE WHEN m.path IS NOT NULL THEN 'registered' WHEN fc.sha256 IS NOT NULL THEN 'content_exists' ELSE 'new' END AS reason FROM asked a LEFT JOIN (SELECT * FROM vf WHERE version_id = {TWO}) m ON m.path = a.path AND m.sha256 = a.sha256 LEFT JOIN fc ON fc.sha256 = a.sha256",
+)(lambda t: I.check_files(asked(t), t.files, t.contents, TWO))
+query(
+    "register_batch",
+    f""", {ASKED}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) AS rn FROM asked WHERE sha256 IN (SELECT sha256 FROM fc)) WHERE rn = 1)
+SELECT coalesce(n.path, o.path) AS path, coalesce(n.sha256, o.sha256) AS sha256, coalesce(n.mtime, o.mtime) AS mtime FROM (SELECT * FROM vf WHERE version_id = {TWO}) o FULL JOIN n ON n.path = o.path""",
+)(lambda t: I.register_batch(asked(t), t.files, t.contents, TWO))
+query("register_counts", f", {ASKED} SELECT count(*) FILTER (fc.sha256 IS NOT NULL) AS registered, count(*) FILTER (fc.sha256 IS NULL) AS missing FROM asked LEFT JOIN fc USING (sha256)")(lambda t: I.register_counts(asked(t), t.contents))
+query("absorb", f"SELECT CAST({TWO} AS BIGINT) AS version_id, path, sha256, mtime FROM vf WHERE version_id = {ONE} AND path NOT IN (SELECT path FROM vf WHERE version_id = {TWO})")(lambda t: I.inherit(t.files, ONE, TWO))
+query("list_files", f"SELECT path, sha256, coalesce(size, 0) AS size, mtime FROM vf LEFT JOIN fc USING (sha256) WHERE version_id = {TWO}")(lambda t: C.list_files(t.files, t.contents, TWO))
+query(
+    "download_candidates",
+    f""", h AS (SELECT sha256, count(*) FILTER (NOT degraded) AS n_healthy, count(*) FILTER (degraded) AS n_degraded, min_by(stored_at, id) FILTER (NOT degraded) AS first FROM cp JOIN vol ON path = volume_path GROUP BY 1)
+SELECT vf.path, sha256, coalesce(n_healthy, 0) AS n_healthy, first, CAST(CASE WHEN n_healthy > 0 THEN 200 WHEN n_degraded > 0 THEN 503 ELSE 410 END AS BIGINT) AS answer FROM vf LEFT JOIN h USING (sha256) WHERE version_id = {TWO}""",
+)(lambda t: R.download_candidates(t.files, t.copies, t.contents, t.volumes, TWO))
+query(
+    "compare_versions",
+    f""", a AS (SELECT path, sha256, coalesce(size, 0) AS size FROM vf LEFT JOIN fc USING (sha256) WHERE version_id = {ONE}), b AS (SELECT path, sha256, coalesce(size, 0) AS size FROM vf LEFT JOIN fc USING (sha256) WHERE version_id = {TWO})
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.sha256 = b.sha256 THEN 'unchanged' ELSE 'modified' END AS kind, coalesce(b.size, 0) - coalesce(a.size, 0) AS delta FROM a FULL JOIN b ON a.path = b.path""",
+)(lambda t: C.compare_versions(t.files, t.contents, ONE, TWO))
+
+query("orphan_contents", "SELECT sha256, size FROM fc WHERE sha256 NOT IN (SELECT sha256 FROM vf)")(lambda t: L.orphan_contents(t.files, t.contents).select("sha256", "size"))
+query("cleanup_keep_n", "SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY version_key DESC) AS rn FROM v) WHERE rn > 5")(lambda t: L.beyond_newest(t.versions, 5).select("id", "label"))
+query("cleanup_by_date", "SELECT label, count(*) AS n_versions FROM v WHERE created_at < TIMESTAMP '2001-01-01' AND status <> 'running' AND id NOT IN (SELECT id FROM last_id) GROUP BY 1")(
+    lambda t: L.before_date(t.versions, CUTOFF).groupBy("label").agg(F.count(F.lit(1)).alias("n_versions"))
+)
+query(
+    "auto_cleanup_plan",
+    """, steps AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN status = 'done' THEN 1 ELSE 0 END, created_at, id) AS step FROM v WHERE status IN ('failed', 'incomplete', 'done') AND id NOT IN (SELECT id FROM last_id)),
+held AS (SELECT DISTINCT version_id, sha256 FROM vf), free AS (SELECT sha256, max(step) AS step FROM held LEFT JOIN steps ON id = version_id GROUP BY 1 HAVING count(*) = count(step)),
+freed AS (SELECT step, CAST(sum(size) AS BIGINT) AS freed FROM free JOIN fc USING (sha256) GROUP BY 1),
+plan AS (SELECT step, id, coalesce(freed, 0) AS freed, CAST(sum(coalesce(freed, 0)) OVER (ORDER BY step) AS BIGINT) AS upto FROM steps LEFT JOIN freed USING (step))
+SELECT step, id, freed, upto FROM plan WHERE upto - freed < 1000000""",
+)(lambda t: L.cleanup_plan(t.versions, t.files, t.contents, 1_000_000))
+query(
+    "retention_plan",
+    f""", x AS (SELECT *, CASE WHEN created_at >= {TS} - INTERVAL 24 HOUR THEN 'all' WHEN created_at >= {TS} - INTERVAL 30 DAY THEN 'day' WHEN created_at >= {TS} - INTERVAL 180 DAY THEN 'week' ELSE 'month' END AS tier FROM done),
+y AS (SELECT *, CASE tier WHEN 'all' THEN CAST(id AS VARCHAR) WHEN 'day' THEN strftime(created_at, '%Y-%m-%d') WHEN 'week' THEN CAST(isoyear(created_at) AS VARCHAR) || '-' || CAST(weekofyear(created_at) AS VARCHAR) ELSE strftime(created_at, '%Y-%m') END AS bucket FROM x)
+SELECT id, label, tier, row_number() OVER (PARTITION BY label, tier, bucket ORDER BY created_at DESC, id DESC) = 1 AS keep FROM y""",
+)(lambda t: L.retention(t.versions, NOW).select("id", "label", "tier", "keep"))
+query("stale_versions", "SELECT id, label FROM v JOIN (SELECT label, max(created_at) AS newest FROM done GROUP BY 1) USING (label) WHERE status IN ('failed', 'incomplete') AND newest > created_at")(lambda t: L.overtaken(t.versions).select("id", "label"))
+query(
+    "stale_running",
+    f"SELECT id, label FROM v LEFT JOIN (SELECT version_id, max(created_at) AS last FROM vf GROUP BY 1) ON id = version_id WHERE status = 'running' AND coalesce(last, created_at) < {TS} - INTERVAL 6 HOUR",
+)(lambda t: L.inactive(t.versions, t.files, NOW).select("id", "label"))
+query(
+    "integrity_check",
+    """, present AS (SELECT DISTINCT sha256 FROM cp JOIN vol ON path = volume_path WHERE ord < 2), missing AS (SELECT DISTINCT sha256 FROM vf WHERE version_id IN (SELECT id FROM keep_done) AND sha256 NOT IN (SELECT sha256 FROM present))
+SELECT id, label, count(DISTINCT sha256) AS n_missing FROM done JOIN vf ON id = version_id WHERE sha256 IN (SELECT sha256 FROM missing) GROUP BY 1, 2""",
+)(lambda t: L.damage(t.versions, t.files, t.copies.where(F.col("volume_path").isin("/vol0", "/vol1")).select("sha256").distinct()))
+DEFICIT = """, n AS (SELECT fc.sha256, count(cp.id) AS n_copies FROM fc LEFT JOIN cp USING (sha256) GROUP BY 1), tgt AS (SELECT least(4, greatest(1, count(*) FILTER (NOT degraded))) AS target FROM vol),
+src AS (SELECT sha256, min_by(volume_path, id) AS source FROM cp JOIN vol ON path = volume_path WHERE NOT degraded GROUP BY 1),
+few AS (SELECT n.sha256, n_copies, CAST(target AS BIGINT) AS target, source FROM n CROSS JOIN tgt LEFT JOIN src ON src.sha256 = n.sha256 WHERE n_copies < target)"""
+query("replica_deficit", DEFICIT + " SELECT * FROM few")(lambda t: R.deficit(t.contents, t.copies, t.volumes, 4))
+query(
+    "replica_placement",
+    DEFICIT
+    + """ SELECT sha256, volume_path FROM (SELECT sha256, vol.path AS volume_path, target - n_copies AS want, row_number() OVER (PARTITION BY sha256 ORDER BY ord) AS rn FROM few CROSS JOIN vol
+WHERE NOT degraded AND source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cp WHERE cp.sha256 = few.sha256 AND cp.volume_path = vol.path)) WHERE rn <= want""",
+)(lambda t: R.placement(t.contents, t.copies, t.volumes, 4))
+query(
+    "replica_excess",
+    """, r AS (SELECT cp.id, cp.sha256, cp.volume_path, cp.stored_at, row_number() OVER w AS rn, first_value(cp.stored_at) OVER w AS new_primary FROM cp JOIN fc USING (sha256) LEFT JOIN vol ON path = volume_path
+WINDOW w AS (PARTITION BY cp.sha256 ORDER BY cp.stored_at = fc.stored_at DESC, NOT degraded DESC, cp.id)) SELECT id, sha256, volume_path, new_primary FROM r WHERE rn > 2""",
+)(lambda t: R.excess(t.contents, t.copies, t.volumes, 2))
+query("rereplicate_to_volume", DEFICIT + " SELECT sha256, n_copies, source FROM few WHERE sha256 NOT IN (SELECT sha256 FROM cp WHERE volume_path = '/vol1')")(lambda t: R.for_volume(t.contents, t.copies, t.volumes, 4, "/vol1"))
+query("backfill_copies", "SELECT sha256, stored_at, regexp_extract(stored_at, '^(/[^/]+)', 1) AS volume_path FROM fc WHERE sha256 NOT IN (SELECT sha256 FROM cp WHERE id % 8 <> 0)")(lambda t: R.missing_copy_rows(t.contents, t.copies.where(F.col("id") % 8 != 0)))
+query("volume_pick", "SELECT coalesce((SELECT path FROM vol WHERE NOT degraded AND free > 1000 ORDER BY ord LIMIT 1), (SELECT path FROM vol WHERE NOT degraded ORDER BY free DESC, ord LIMIT 1)) AS volume_path")(lambda t: R.pick_volume(t.volumes, 1000))
+query("volume_last_resort", "SELECT path AS volume_path FROM vol WHERE NOT degraded ORDER BY free DESC, ord LIMIT 1")(lambda t: R.pick_volume(t.volumes, 10**9))
+PENDING = ", pending AS (SELECT sha256 FROM cp WHERE volume_path = '/vol0' AND id % 3 = 0)"
+pending = lambda t: t.copies.where((F.col("volume_path") == "/vol0") & (F.col("id") % 3 == 0)).select("sha256")
+query("ssd_budget", PENDING + " SELECT CAST(sum(size) AS BIGINT) AS pending_bytes, sum(size) < 10000000 AS accepts FROM pending JOIN fc USING (sha256)")(lambda t: R.pending_budget(pending(t), t.contents, 10_000_000))
+query(
+    "ssd_stuck",
+    PENDING + " SELECT sha256, CASE WHEN sha256 IN (SELECT sha256 FROM cp WHERE volume_path <> '/vol0') THEN 'redundant' ELSE 'only_copy' END AS kind FROM cp WHERE volume_path = '/vol0' AND sha256 NOT IN (SELECT sha256 FROM pending)",
+)(lambda t: R.stuck_on_cache(t.copies, pending(t), "/vol0"))
+query(
+    "migrate_disk_preview",
+    """, h AS (SELECT sha256, size, sha256 IN (SELECT sha256 FROM cp WHERE volume_path = '/vol1') AS there FROM (SELECT DISTINCT sha256 FROM cp WHERE volume_path = '/vol0') JOIN fc USING (sha256)),
+m AS (SELECT count(*) FILTER (NOT there) AS n_copy, CAST(coalesce(sum(size) FILTER (NOT there), 0) AS BIGINT) AS copy_bytes, count(*) FILTER (there) AS n_there FROM h), f AS (SELECT CAST(sum(free) AS BIGINT) AS free FROM vol WHERE path = '/vol1')
+SELECT *, free >= copy_bytes AS feasible FROM m, f""",
+)(lambda t: R.migration_preview(t.copies, t.contents, t.volumes, "/vol0", ["/vol1"]))
+query("migrate_disk_plan")(lambda t: R.migration_plan(t.copies, t.contents, {"/vol1": 20_000_000, "/vol2": 12_000_000}, "/vol0"))
+query("encrypt_pending", "SELECT sha256, size, coalesce(n, 0) AS n_reachable FROM fc LEFT JOIN (SELECT sha256, count(*) AS n FROM cp JOIN vol ON path = volume_path WHERE NOT degraded GROUP BY 1) USING (sha256) WHERE NOT encrypted")(
+    lambda t: R.unencrypted(t.contents, t.copies, t.volumes)
+)
+query("labels_for_shas", "SELECT DISTINCT label FROM v JOIN vf ON id = version_id WHERE sha256 IN (SELECT sha256 FROM fc WHERE size = 1024)")(lambda t: I.labels_of(t.contents.where(F.col("size") == 1024).select("sha256"), t.files, t.versions))
+
+LISTING = ", listing AS (SELECT path, version_id, sha256, coalesce(size, 0) AS size, mtime FROM vf LEFT JOIN fc USING (sha256))"
+
+
+def listing(t: Vault) -> DataFrame:
+    return t.files.join(t.contents.select("sha256", "size"), "sha256", "left").select("version_id", "path", "sha256", F.coalesce("size", F.lit(0)).alias("size"), "mtime")
+
+
+query(
+    "change_detect_local",
+    LISTING
+    + f""", p AS (SELECT path, sha256 AS old_sha, size AS old_size, mtime AS old_mtime FROM listing WHERE version_id = {ONE})
+SELECT l.path, coalesce(mtime = old_mtime AND l.size = old_size, FALSE) AS fast, CASE WHEN coalesce(mtime = old_mtime AND l.size = old_size, FALSE) OR l.sha256 = old_sha THEN 'skip' WHEN fc.sha256 IS NOT NULL THEN 'register' ELSE 'upload' END AS action
+FROM listing l LEFT JOIN p USING (path) LEFT JOIN fc ON fc.sha256 = l.sha256""",
+)(lambda t: I.local_changes(listing(t), t.files.where(F.col("version_id") == ONE), t.contents).select("path", "fast", "action"))
+query(
+    "change_detect_cloud",
+    f""", a AS (SELECT path, mtime FROM vf WHERE version_id = {ONE}), b AS (SELECT path, mtime FROM vf WHERE version_id = {TWO}), base AS (SELECT coalesce(b.path, a.path) AS path, coalesce(b.mtime, a.mtime) AS known FROM a FULL JOIN b ON a.path = b.path)
+SELECT vf.path, CASE WHEN mtime = known THEN 'skip' ELSE 'download' END AS action FROM vf LEFT JOIN base ON base.path = vf.path""",
+)(lambda t: I.cloud_changes(t.files, t.files.where(F.col("version_id") == ONE), t.files.where(F.col("version_id") == TWO)))
+query("batch_pack")(lambda t: I.batches(listing(t).select(F.concat_ws("/", F.lit("b"), (F.col("version_id") % 50).cast("string")).alias("group"), F.concat(F.lpad(F.col("version_id").cast("string"), 9, "0"), "path").alias("path"), "size")))
+query(
+    "walk_progress",
+    """, e AS (SELECT CAST(version_id AS VARCHAR) AS directory, CAST(version_id AS VARCHAR) || path AS path, sha256 FROM vf), r AS (SELECT path FROM e WHERE sha256 IN (SELECT sha256 FROM fc WHERE size > 2048)), f AS (SELECT CAST(id AS VARCHAR) AS directory FROM v WHERE status = 'failed'),
+c AS (SELECT directory, count(*) AS n_files, count(*) FILTER (path IN (SELECT path FROM r)) AS n_registered FROM e GROUP BY 1)
+SELECT *, CASE WHEN directory IN (SELECT directory FROM f) THEN 'retry' WHEN n_files = n_registered THEN 'done' ELSE 'pending' END AS state FROM c""",
+)(
+    lambda t: walk.walk_progress(
+        t.files.select(F.col("version_id").cast("string").alias("directory"), F.concat(F.col("version_id").cast("string"), "path").alias("path")),
+        t.files.join(t.contents.where(F.col("size") > 2048), "sha256", "left_semi").select(F.concat(F.col("version_id").cast("string"), "path").alias("path")),
+        t.versions.where(F.col("status") == "failed").select(F.col("id").cast("string").alias("directory")),
+    )
+)
+query(
+    "walk_resume",
+    "SELECT label, max(id) AS id, CASE WHEN max_by(id % 5, id) < 3 THEN 'resume' ELSE 'abandon' END AS action FROM v WHERE status IN ('incomplete', 'failed', 'running') GROUP BY 1",
+)(lambda t: walk.resume_decision(t.versions.withColumn("resume_count", F.col("id") % 5)))
+query(
+    "restore_plan",
+    """, p AS (SELECT DISTINCT path, ltrim(CASE WHEN path LIKE '/d1/%' THEN substr(path, 4) ELSE path END, '/') AS relative FROM (SELECT path FROM vf UNION ALL SELECT '/d1/../../' || substr(path, 2) FROM vf UNION ALL SELECT path || '/.DS_Store' FROM vf))
+SELECT path, relative, CASE WHEN relative LIKE '../%' THEN 'unsafe' WHEN relative LIKE '%/.DS_Store' OR relative = '.DS_Store' THEN 'ignored' WHEN list_contains(string_split(relative, '/'), 'f3') THEN 'excluded' ELSE 'process' END AS kind FROM p""",
+)(
+    lambda t: I.restore_plan(
+        t.files.select("path").unionByName(t.files.select(F.concat(F.lit("/d1/../../"), F.expr("substr(path, 2)")).alias("path"))).unionByName(t.files.select(F.concat("path", F.lit("/.DS_Store")).alias("path"))).distinct(), "/d1/", ["f3"]
+    )
+)
+TEMPS = "SELECT CASE WHEN event_id % 2 = 0 THEN 'tmp_' ELSE 'f_' END || CAST(event_id AS VARCHAR) AS name, CAST(floor(value) AS BIGINT) AS size, ts AS modified FROM events"
+query("tmp_sweep", f", x AS ({TEMPS}) SELECT count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS n_bytes FROM x WHERE name LIKE 'tmp~_%' ESCAPE '~' AND modified < TIMESTAMP '2024-01-20'")(
+    lambda t: L.old_temporaries(
+        t.samples.select(F.concat(F.when(F.col("id") % 2 == 0, "tmp_").otherwise("f_"), F.col("id").cast("string")).alias("name"), F.floor("used_pct").cast("bigint").alias("size"), F.col("sampled_at").alias("modified")), datetime(2024, 1, 20), ("tmp_",)
+    )
+)
+query("db_backup_rotation", "SELECT folder, name FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY name DESC) AS rn FROM (SELECT label AS folder, version_key AS name FROM v)) WHERE rn > 7")(
+    lambda t: L.beyond_rotation(t.versions.select(F.col("label").alias("folder"), F.col("version_key").alias("name")))
+)
+query("path_prefix_migration", "SELECT id, CASE WHEN stored_at LIKE '/vol1/%' THEN '/mnt/new' || substr(stored_at, 6) ELSE stored_at END AS stored_at, stored_at LIKE '/vol1/%' AS moved FROM cp")(
+    lambda t: L.moved_paths(t.copies.select("id", "stored_at"), "stored_at", "/vol1", "/mnt/new")
+)
+STATES = "SELECT status, count(*) AS n, count(DISTINCT label) AS n_labels FROM {} GROUP BY 1"
+states = lambda v: v.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_labels"))
+query("rename_label", "SELECT id, CASE WHEN label = 'BUILDING/1' THEN 'renamed' ELSE label END AS label FROM v")(lambda t: L.rename_label(t.versions, "BUILDING/1", " renamed ").select("id", "label"))
+query("reassign_owner", "SELECT label, CASE WHEN label = 'BUILDING/1' THEN CAST(3 AS BIGINT) ELSE owner_user_id END AS owner_user_id FROM labels_")(lambda t: L.with_owner(t.labels, "BUILDING/1", 3).select("label", "owner_user_id"))
+query("owner_backfill", "SELECT label, coalesce(owner_user_id, 1) AS owner_user_id FROM labels_")(lambda t: L.owners_filled(t.labels, 1).select("label", "owner_user_id"))
+query("delete_label", "SELECT version_id, path FROM vf WHERE version_id NOT IN (SELECT id FROM v WHERE label = 'BUILDING/1')")(lambda t: L.without_label(t.versions, t.files, "BUILDING/1").select("version_id", "path"))
+query("delete_version", f"SELECT version_id, path FROM vf WHERE version_id <> {ONE}")(lambda t: t.files.where(F.col("version_id") != ONE).select("version_id", "path"))
+query(
+    "create_version",
+    ", x AS (SELECT id, label, CASE WHEN label = 'BUILDING/1' AND status = 'running' THEN 'incomplete' ELSE status END AS status FROM v UNION ALL SELECT max(id) + 1, 'BUILDING/1', 'running' FROM v) SELECT id, label, status FROM x",
+)(lambda t: L.with_new_version(t.versions, "BUILDING/1", "2001-08-02T00:00:00", NOW).select("id", "label", "status"))
+query("finish_version", f"SELECT id, CASE WHEN id = {ONE} THEN 'failed' ELSE status END AS status, CASE WHEN id = {ONE} THEN {TS} ELSE finished_at END AS finished_at FROM v")(lambda t: L.finished(t.versions, ONE, "failed", NOW).select("id", "status", "finished_at"))
+query("startup_stale_reset", f", x AS (SELECT label, CASE WHEN status = 'running' THEN 'incomplete' ELSE status END AS status FROM v) {STATES.format('x')}")(lambda t: states(L.with_status(t.versions, F.col("status") == "running", "incomplete")))
+query("startup_jobs_reset", "SELECT id, CASE WHEN status = 'running' THEN 'error' ELSE status END AS status FROM jobs")(lambda t: L.with_status(t.jobs, F.col("status") == "running", "error").select("id", "status"))
+query(
+    "scalar_functions",
+    "SELECT sha256, 12 + size + CAST(ceil(size / 1048576.0) AS BIGINT) * 20 AS stored_size, '/x/_content/' || substr(sha256, 1, 2) || '/' || sha256 AS content_path, sha256 AS base, regexp_replace(stored_at, '/[^/]+$', '') AS folder FROM fc",
+)(lambda t: t.contents.select("sha256", X.stored_size(F.col("size")).alias("stored_size"), X.content_path(F.lit("/x"), F.col("sha256")).alias("content_path"), X.base_name(F.col("stored_at")).alias("base"), X.parent(F.col("stored_at")).alias("folder")))
+query("disk_classes", "SELECT id, CASE WHEN used_pct >= 90 THEN 'critical' WHEN used_pct >= 75 THEN 'warning' ELSE 'ok' END AS class FROM samples")(lambda t: t.samples.select("id", X.disk_class(F.col("used_pct")).alias("class")))
+query("event_windows", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, event_type, count(*) AS n_events, max(value) AS max_value FROM events GROUP BY 1, 2")(
+    lambda t: walk.event_windows(t.jobs.join(t.samples, "id").select(F.col("started_at").alias("ts"), F.col("job_type").alias("event_type"), F.col("used_pct").alias("value")))
+)
