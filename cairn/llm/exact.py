@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import own_names, text_or_empty
+from cairn.llm.tokens import small
 
 #: Bytes of text that a trie holds in memory.
 TRIE_BYTES = 96 << 20
+#: Rows whose texts are Python objects at a time.
+ROWS = 2000
 #: Bytes counted for a node besides its edge.
 NODE_BYTES = 300
 MERGED = "n_bytes long, digest binary, body binary, owner long, n long"
@@ -154,7 +157,7 @@ def folded(batch: pa.RecordBatch) -> tuple[list[int | None], list[bytes]]:
 
 def merge_batches(largest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, ROWS):
             trie = Trie(largest)
             for owner, body in zip(*folded(batch), strict=True):
                 trie.insert(body, owner, 1, b"")
@@ -177,7 +180,7 @@ def own_partition(largest: bool, limit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
             trie = Trie(largest, limit, folder)
-            for batch in batches:
+            for batch in small(batches, ROWS):
                 for tag, body, owner, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "owner", "n")), strict=True):
                     trie.insert(body, owner, n, tag)
             rows: list[tuple] = []
@@ -198,7 +201,7 @@ def owner_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def with_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, ROWS):
         _, bodies = folded(batch)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],

@@ -23,6 +23,7 @@ from cairn.llm.common import own_names, store, text_or_empty, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO = 1.5
 MAX_REPEATS = 2
+#: Output shards at least; there are as many as shuffle partitions if those are more, so that shards stay of one size.
 SHARDS = 64
 #: Documents a block has on average; a source has at most MAX_BLOCKS blocks, which then grow.
 BLOCK_DOCS = 64
@@ -72,7 +73,7 @@ def spot(seed: int, *parts: Column) -> Column:
     return F.xxhash64(*parts, F.lit(seed))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = 29) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, max_repeats: int = MAX_REPEATS, shards: int | None = None, seed: int = 29) -> DataFrame:
     """The plan of a mixture of docs(doc_id, text, source): every column of docs, and size (words), source_size, target,
     draws (array of pass, shard) and taken (size times draws).
 
@@ -82,6 +83,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATI
     order while they fit, and one more that comes nearest to what is left.  Added columns replace ones of their name.
     """
     spark = docs.sparkSession
+    shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = store(own_names(docs, ["doc_id", "text", "source"]).select("source", spot(seed, F.col("doc_id")).alias("spot"), word_count(text_or_empty()).alias("size")), "mix-sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     aimed = targets(sources, weights, ratio, max_repeats)
@@ -143,4 +145,5 @@ def shuffled(mixture: DataFrame, columns: Sequence[str], seed: int = 31) -> Data
     """The mixture's rows, a document once a draw, laid out by shard and shuffled inside each."""
     order = [F.col("draw.shard"), spot(seed, F.col("doc_id"), F.col("draw.pass")), F.col("doc_id")]
     rows = mixture.select(*[F.col(f"`{c}`") for c in columns], F.explode("draws").alias("draw"))
-    return rows.repartition("draw.shard").sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])
+    parts = int(mixture.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "draw.shard").sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])

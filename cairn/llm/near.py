@@ -34,7 +34,7 @@ BINS = ROWS * BANDS
 #: From its second turn on, an open bucket has so many times the hubs of the turn before.
 GROWTH = 16
 #: Bytes of text whose shingles are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
 
 

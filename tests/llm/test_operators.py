@@ -1,0 +1,393 @@
+"""Operators against brute-force versions, on a fixture of awkward rows: null and empty texts, ties, repeated rows,
+extra columns with clashing names, very long texts, copies."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cairn.llm import exact, graph, language, mixing, near, packing, pii, quality, sharding, tokens, toxicity
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, word string, rn int, kept string, shard string"
+
+
+def fixture_rows():
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 7))) for _ in range(150)]
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    texts = [None, "", " \t\n", "one", "One", "a b", "X Y", "x y", "<|endoftext|> and <|endof", "a" * 5000, "   " * 700, "w " * 4000, "mail bob@x.example.com or +44 20 7946 0958, 4111 1111 1111 1111 and 10.0.0.256 10.0.0.25"]
+    base = prose(60)
+    texts += [base, base.upper(), base + " extra", "start " + base, base, prose(9000)]
+    texts += [" ".join(base.split()[:k] + ["changed"] + base.split()[k + 1 :]) for k in range(0, 60, 6)]
+    texts += [prose(rnd.randint(1, 80)) for _ in range(60)]
+    texts += ["line one here\nline one here\n\n\n" + prose(5), "a b c d e a b c d e a b c d e f g h i j k"]
+    sources = [None, "s0", "s1", "s2", "ü", ""]
+    rows = [(i, t, "en", sources[i % 6] if i % 3 else "s0", 0, "x", "y", 1, "z", "q") for i, t in enumerate(texts)]
+    return [*rows, rows[13], rows[13]]
+
+
+ROWS = fixture_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def bag(df, *columns):
+    return collections.Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_mix(docs, empty):
+    found = mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken", "draws").collect()
+    assert len(found) == len(ROWS)
+    sizes = collections.Counter()
+    for r in ROWS:
+        sizes[r[3]] += len(words(r[1]))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, fixed = 1.5 * sum(sizes.values()), {}
+    while True:
+        level = (total - sum(fixed.values())) / sum(weight[s] for s in names if s not in fixed)
+        over = [s for s in names if s not in fixed and level * weight[s] > 2 * sizes[s]]
+        if not over:
+            break
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+    taken = collections.Counter()
+    for r in found:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(fixed.get(r["source"], level * weight[r["source"]]))
+        assert r["taken"] == r["size"] * len(r["draws"]) <= 2 * r["size"]
+        assert all(0 <= d["shard"] < mixing.SHARDS for d in r["draws"])
+        taken[r["source"]] += r["taken"]
+    again = mixing.mix(docs).select("doc_id", "taken")
+    assert bag(again, "doc_id", "taken") == collections.Counter((r["doc_id"], r["taken"]) for r in found)
+    assert mixing.mix(empty).count() == 0
+    assert mixing.shuffled(mixing.mix(docs), docs.columns).count() == sum(len(r["draws"]) for r in found)
+
+
+def test_quota_tree():
+    quotas = np.array([7, 0, 40, 13])
+    dealt = mixing.split_quotas(quotas, 8, 5)
+    assert (dealt.sum(axis=1) == quotas).all()
+    assert dealt.sum(axis=0).max() - dealt.sum(axis=0).min() <= 1
+
+
+def test_pii(docs, empty):
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def valid(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(p) < 256 for p in s.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    def base(text):
+        return ",".join(f"{k}:{m.start()}:{m.end()}" for k, rule in rules.items() for m in re.finditer(rule, text or "") if valid(k, m[0]))
+
+    rnd = random.Random(9)
+    odd = ["".join(rnd.choice("1234567890 -.+()@abx.\U0001f600é") for _ in range(rnd.randint(1, 90))) for _ in range(300)]
+    odd += ["a@b.c+d@e.f.g", "x@y z@w.v", "1.2.3.4.5.6.7.8", "+1 (212) 555-0100." * 3, "9" * 3000, "a.b" * 2000 + "@" + ".c" * 3000]
+    frame = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    for table, rows in ((docs, [(r[0], r[1]) for r in ROWS]), (frame, list(enumerate(odd)))):
+        assert bag(pii.find_pii(table), "doc_id", "base") == collections.Counter((i, base(t)) for i, t in rows)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_discovers(spark):
+    texts = [f"badge: user{i}@mail.example.com end" for i in range(20)] + ["badge: user77@intranet end", "other user78@intranet text"]
+    found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found[20]["spans"] == "" or found[20]["spans"].startswith("email:7:")
+    assert all(found[i]["spans"] == found[i]["base"] != "" for i in range(20)) and found[21]["spans"] == ""
+    numbers = [f"card number {4111111111111111} ok" if i == 0 else f"card number {luhn_number(i)} ok" for i in range(12)] + ["card number 4111111111111112 ok", "some 4111111111111112 here"]
+    found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(numbers)), "doc_id bigint, text string")).collect()}
+    assert found[12]["n_card"] == 0 and found[12]["spans"] == "card:12:28" and found[13]["spans"] == ""
+
+
+def luhn_number(i):
+    body = f"4111111111{i:05d}"
+    s = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(body)))
+    return body + str(-s % 10)
+
+
+def test_toxicity(spark, docs, empty):
+    rnd = random.Random(2)
+    plain = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        w = [rnd.choice(plain) for _ in range(rnd.randint(5, 60))] + (["zqvile"] if toxic else [])
+        rnd.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    table = spark.createDataFrame([*rows, (600, None), (601, "")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id bigint, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score_documents(table, marks).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in found)
+    assert sum(found[i]["predicted"] == labels[i][1] for i in held) >= 0.98 * len(held)
+    assert found[600]["score"] == found[601]["score"] and found[600]["predicted"] == 0
+    assert toxicity.score_documents(docs, marks.where("false")).count() == len(ROWS)
+    assert toxicity.score_documents(empty, marks).count() == 0
+    long = "x" * (toxicity.BLOCK + 77) + " zqvile"
+    assert set(toxicity.present(long)) == set(np.concatenate([toxicity.buckets(toxicity.characters(long), n) for n in toxicity.SIZES]))
+
+
+def test_shards(docs, empty):
+    found = sharding.shard_rows(docs, sharding.even(40), sharding.even(41)).collect()
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(found) == len(ROWS)
+    sizes = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == sizes
+    assert sharding.shard_rows(empty, sharding.even(3)).count() == 0
+
+
+def test_shard_weights_confine_movement(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "'' AS text")
+    weights = sharding.even(24)
+    heavier = [*weights[:5], 3.0, *weights[6:]]
+    found = sharding.shard_rows(rows, weights, heavier).collect()
+    assert all(r["grown_shard"] in (r["shard"], 5) for r in found)
+    share = sum(r["grown_shard"] == 5 for r in found) / len(found)
+    assert abs(share - 3 / 26) < 0.01
+
+
+def exact_components(rows, size, percent):
+    sets, parent = {}, {}
+    for i, t in rows:
+        w = low(t).encode().split()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near(docs, empty, size):
+    want = exact_components([(r[0], r[1]) for r in ROWS], size, 80)
+    found = near.near_dedup(docs, size=size).collect()
+    assert len(found) == len(ROWS)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in found)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+    assert near.near_dedup(empty, size=size).count() == 0
+
+
+def test_near_chains_and_centres(spark):
+    """Copies that are linked only through a centre that is no bucket's least document."""
+    rnd = random.Random(8)
+    words_ = [f"w{i}" for i in range(120)]
+    rows = [(1000, " ".join(words_))]
+    for i in range(60):
+        w = list(words_)
+        for k in rnd.sample(range(120), rnd.choice((1, 2, 3, 5, 8))):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    want = exact_components(rows, 4, 80)
+    found = near.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
+def test_word_hashes_and_long_texts():
+    text = "ab cd\tef\n" * 90_000 + "tail"
+    got = near.word_hashes(text.encode())[1]
+    parts = np.concatenate([near.word_hashes(p)[1] for p in near.cut_points(text.encode())])
+    assert len(got) == len(text.split()) and (got == parts).all() and len(set(got.tolist())) == 4
+
+
+def test_components(spark):
+    rnd = random.Random(1)
+    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_exact(docs, empty):
+    groups = collections.defaultdict(list)
+    for r in ROWS:
+        groups[low(r[1])].append(r[0])
+    for keep, pick in (("largest", max), ("smallest", min)):
+        want = collections.Counter((i, pick(v), len(v), i == pick(v), hashlib.sha256(k.encode()).hexdigest()) for k, v in groups.items() for i in v)
+        assert bag(exact.exact_groups(docs, keep), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    assert exact.exact_groups(empty).count() == 0
+    assert sorted(exact.drop_copies(docs).columns) == sorted(docs.columns)
+
+
+def test_trie_spills(tmp_path):
+    rnd = random.Random(3)
+    keys = [b"common prefix " * 3 + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + [b"", b"z" * 5000]
+    trie, want = exact.Trie(True, 20_000, str(tmp_path)), {}
+    for i, k in enumerate(keys):
+        trie.insert(k, i, 1, b"")
+        n = want.get(k, (0, 0))
+        want[k] = (i, n[1] + 1)
+    assert trie.files
+    got = [(k, (h[0], h[1])) for k, h in trie.owners()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_language_model(docs, empty):
+    text = {r[0]: r[1] for r in ROWS}
+    seqs = [(r[0], low(r[1]).encode().split() + [None]) for r in ROWS]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in text}
+    counts = collections.Counter(w for i, s in seqs if not held[i] for w in s)
+    n = sum(counts.values())
+    size = math.log10(n + len(counts) + 1)
+    want = {i: (held[i], len(s), sum(counts[w] > 0 for w in s), n, sum(math.log10(counts[w] + 1) - size for w in s)) for i, s in seqs}
+    for options in ({}, {"shortlist": 20, "head": 40}):
+        found = language.score_texts(docs, **options).collect()
+        assert len(found) == len(ROWS)
+        for r in found:
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:4]
+            assert r["base_score"] == pytest.approx(want[r["doc_id"]][4]) and r["score"] < 0
+    assert language.score_texts(empty).count() == 0
+
+
+def test_language_model_is_normalised_and_learns():
+    rnd = np.random.default_rng(0)
+    truth = rnd.dirichlet(np.full(12, 0.3), size=12)
+    pairs = np.array([rnd.multinomial(5000, p) for p in truth])
+    table = language.fit(pairs, dimensions=12, steps=400)
+    assert np.allclose((10**table).sum(axis=1), 1)
+    share = np.log10(pairs.sum(axis=0) / pairs.sum())
+    assert (pairs * table).sum() > (pairs * share).sum() + 0.1 * pairs.sum()
+
+
+def test_packing(docs, empty):
+    tokenizer = Tokenizer.from_file(JSON)
+    found = packing.pack(docs, JSON).collect()
+    pieces, sequences = collections.defaultdict(collections.Counter), collections.defaultdict(list)
+    for r in found:
+        pieces[r["doc_id"]][(r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for i, text in {r[0]: r[1] for r in ROWS}.items():
+        ids, copies, at = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], sum(r[0] == i for r in ROWS), 0
+        total += len(ids) * copies
+        for number, ((piece, start, length, crc), n) in enumerate(sorted(pieces[i].items())):
+            assert (piece, start, n) == (number, at, copies) and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            assert length == 2048 or piece == 0
+            at += length
+        assert at == len(ids)
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= -(-total // 2048) + 1
+    assert packing.pack(empty, JSON).count() == 0
+
+
+def test_bin_completion_is_optimal():
+    rnd = random.Random(5)
+    for _ in range(60):
+        lengths = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 8))]
+        best = len(lengths)
+
+        def search(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):  # noqa: B023
+                best = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= 30:  # noqa: B023
+                    search(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])  # noqa: B023
+            search(i + 1, [*bins, lengths[i]])  # noqa: B023
+
+        search(0, [])
+        got = packing.complete(lengths, 30)
+        assert sorted(sum(got, [])) == sorted(lengths) and all(sum(b) <= 30 for b in got) and len(got) == best
+
+
+def test_token_counts(docs, empty):
+    tokenizer = Tokenizer.from_file(JSON)
+    want = collections.Counter()
+    for r in ROWS:
+        n = len(tokenizer.encode(r[1] or "", add_special_tokens=False))
+        want[(r[0], len((r[1] or "").encode()), n, n > 512)] += 1
+    assert bag(tokens.count_tokens(docs, JSON), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert tokens.count_tokens(empty, JSON).count() == 0
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    assert tokens.count_tokens(docs, model).count() == len(ROWS)
+
+
+def test_spliced_tokens_are_those_of_the_whole():
+    tokenizer, rnd = tokens.load(JSON), random.Random(6)
+    parts = ["hello", " world", "  ", "\n\n ", "<|endoftext|>", "<|endof", "é", "123", "!!!", "a" * 40, " " * 30, "'ll", "　"]
+    for _ in range(60):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 120)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert [i for p in tokens.spliced(tokenizer, text, 64, 16) for i in p] == want
+    for text in ("b" * 700, " " * 700, "x" * 300 + " y" * 300):
+        assert [i for p in tokens.spliced(tokenizer, text, 64, 8) for i in p] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_quality(docs, empty):
+    want = collections.Counter()
+    for r in ROWS:
+        w = words(r[1])
+        seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+        lines = [x for x in (r[1] or "").split("\n") if words(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        want[(r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(lines) - len(set(lines)), len(covered), failed)] += 1
+    found = quality.apply_rules(docs)
+    assert bag(found, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+    assert all(not (r["kept"] and r["base_failed"]) for r in found.collect())
+    assert quality.apply_rules(empty).count() == 0
+
+
+def test_hosts_are_shrunk(spark):
+    good, bad = "one two three four five six seven eight nine ten eleven", "short"
+    rows = [(i, bad if i % 100 < 95 else good, "spam") for i in range(400)] + [(1000 + i, good, f"h{i % 20}") for i in range(800)] + [(5000, bad, "tiny"), (5001, good, "tiny")]
+    found = {r["doc_id"]: r for r in quality.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert not any(found[i]["kept"] for i in range(400)) and all(found[1000 + i]["kept"] for i in range(800))
+    assert found[5001]["host_rate"] < 0.5 and found[5001]["kept"] and not found[5000]["kept"]

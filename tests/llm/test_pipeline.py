@@ -1,0 +1,28 @@
+"""The pipeline's stages on the smallest tables: what each drops, and that the rest is whole."""
+
+import collections
+
+import corpus_pipeline as P
+from cairn.llm.common import table
+
+TABLES = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, TABLES, "documents")
+    columns, kept = docs.columns, [docs]
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, kept[-1], TABLES).cache()
+        assert out.columns == columns
+        kept.append(out)
+    ids = [[r["doc_id"] for r in x.select("doc_id").collect()] for x in kept]
+    assert set(ids[1]) < set(ids[0])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lowest: dict = {}
+    for i in sorted(ids[1]):
+        lowest.setdefault(texts[i].encode().lower(), i)
+    assert sorted(ids[2]) == sorted(lowest.values())
+    assert set(ids[3]) <= set(ids[2]) and len(ids[3]) == len(set(ids[3]))
+    assert set(ids[4]) <= set(ids[3]) and max(collections.Counter(ids[4]).values()) <= 2
+    packed = P.STAGES[-1][1](spark, kept[-1], TABLES)
+    assert collections.Counter(r["doc_id"] for r in packed.where("piece = 0").collect()) == collections.Counter(ids[4])
