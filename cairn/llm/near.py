@@ -216,6 +216,13 @@ def with_partners(state: DataFrame, texts: DataFrame, size: int, percent: int) -
     return kept.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low_n"))).drop("low_n")
 
 
+def with_keys(state: DataFrame) -> DataFrame:
+    """Every row with all open buckets of its class, BANDS at most."""
+    each = state.groupBy("rep", "n", "shared", "of", "linked").agg(F.collect_list(F.struct("key", "served")).alias("places"))
+    each = each.withColumn("keys", F.transform("places", lambda p: p["key"]))
+    return each.select("rep", "n", "shared", "of", "linked", "keys", F.explode("places").alias("p")).select("p.key", "rep", "n", "shared", "p.served", "of", "linked", "keys")
+
+
 def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """node, component of the classes that are linked, from members(key, rep, n) of buckets and texts(doc_id, text)."""
     state = members.withColumns({"served": F.lit(False), "shared": F.col("n")})
@@ -232,15 +239,17 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             labelled = labelled.select("key", "rep", "n", "shared", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
         state = store(open_buckets(labelled), "near-open")
         if turn:
-            state = store(open_buckets(with_partners(state, texts, size, percent)), "near-open")
+            state = store(with_keys(open_buckets(with_partners(state, texts, size, percent))), "near-open")
         slot = F.pmod(F.xxhash64("rep"), F.lit(GROWTH ** max(0, turn - 1)))
-        rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
+        rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), *([F.col("keys").alias("hub_keys")] if turn else []))
         hubs = state.where(~F.col("served")).groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("best"))
-        hubs = store(hubs.select("key", "best.hub", "best.hub_of", "best.hub_n", "best.hub_shared"), "near-hubs")
+        hubs = store(hubs.select("key", "best.*").drop("late"), "near-hubs")
         if hubs.isEmpty():
             return known
-        able = (100 + percent) * F.least("shared", "hub_shared") >= percent * (F.col("n") + F.col("hub_n"))
-        pairs = state.join(hubs, "key").where((F.col("of") != F.col("hub_of")) & able)
+        able = (F.col("of") != F.col("hub_of")) & ((100 + percent) * F.least("shared", "hub_shared") >= percent * (F.col("n") + F.col("hub_n")))
+        if turn:  # a pair comes from the first of the buckets that the two share
+            able = able & (F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key"))
+        pairs = state.join(hubs, "key").where(able)
         pairs = pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
