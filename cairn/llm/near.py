@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 #: From its second turn on, an open bucket has so many times the hubs of the turn before.
-GROWTH = 16
+GROWTH = 64
 #: Bytes of text whose shingles are hashed at once.
 BLOCK = 1 << 18
 SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
@@ -211,9 +211,10 @@ def with_partners(state: DataFrame, texts: DataFrame, size: int, percent: int) -
     involved = texts.join(state.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     single = involved.mapInArrow(exploded(size), "rep long, n long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rep", "n")).alias("x"))
     alone = single.where(F.col("times") == 1).groupBy(F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("own"))
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    kept = state.drop("shared").join(alone, ["rep", "n"], "left").withColumn("shared", shared).drop("own")
-    return kept.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("low_n"))).drop("low_n")
+    classes = state.groupBy("rep", "n", "of", "linked").agg(F.collect_list(F.struct("key", "served", "low_n")).alias("places"))
+    classes = classes.join(alone, ["rep", "n"], "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    able = F.filter("places", lambda p: (100 + percent) * F.col("shared") >= percent * (F.col("n") + p["low_n"]))
+    return classes.select("rep", "n", "of", "linked", "shared", F.explode(able).alias("p")).select("p.key", "rep", "n", "shared", "p.served", "of", "linked")
 
 
 def with_keys(state: DataFrame) -> DataFrame:
@@ -239,7 +240,8 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             labelled = labelled.select("key", "rep", "n", "shared", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
         state = store(open_buckets(labelled), "near-open")
         if turn:
-            state = store(with_keys(open_buckets(with_partners(state, texts, size, percent))), "near-open")
+            able = store(with_partners(state, texts, size, percent), "near-able")
+            state = store(with_keys(open_buckets(able)), "near-open")
         slot = F.pmod(F.xxhash64("rep"), F.lit(GROWTH ** max(0, turn - 1)))
         rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), *([F.col("keys").alias("hub_keys")] if turn else []))
         hubs = state.where(~F.col("served")).groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("best"))
