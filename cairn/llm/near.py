@@ -227,7 +227,6 @@ def with_keys(state: DataFrame) -> DataFrame:
 def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """node, component of the classes that are linked, from members(key, rep, n) of buckets and texts(doc_id, text)."""
     state = members.withColumns({"served": F.lit(False), "shared": F.col("n")})
-    links: DataFrame | None = None
     tried: DataFrame | None = None
     known: DataFrame | None = None
     turn = 0
@@ -251,7 +250,10 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         able = (F.col("of") != F.col("hub_of")) & ((100 + percent) * F.least("shared", "hub_shared") >= percent * (F.col("n") + F.col("hub_n")))
         if turn:  # a pair comes from the first of the buckets that the two share
             able = able & (F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key"))
-        pairs = state.join(hubs, "key").where(able)
+        used = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
+        state = store(state.join(used, ["key", "rep"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "near-turn")
+        # two hubs of one bucket meet once
+        pairs = state.join(hubs, "key").where(able & (~F.col("now") | (F.col("rep") > F.col("hub"))))
         pairs = pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -261,11 +263,9 @@ def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         found = checked.where("linked").select("a", "b")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
             # stars that are known stand for the links before
             known = components(found if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "near-components")
-        used = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        state = state.join(used, ["key", "rep"], "left").select("key", "rep", "n", "shared", (F.col("served") | F.col("now").isNotNull()).alias("served"))
+        state = state.select("key", "rep", "n", "shared", (F.col("served") | F.col("now")).alias("served"))
         turn += 1
 
 
