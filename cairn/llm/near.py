@@ -3,24 +3,27 @@
 1. A text's set are the 64-bit hashes of its distinct word shingles.  Equal sets form one class.
 2. One permutation: the hash range is cut into BINS bins, each bin's least hash is its value; an empty bin takes the
    value of the first non-empty bin in a random order of its own.  BANDS bands of ROWS bins give a class its buckets.
-3. Stars: every bucket gets hubs, and its classes are candidates of the hubs only, so a bucket of n gives n pairs a
-   hub, not n squared.  Candidates are confirmed on full sets and linked.  Buckets whose classes are not all in one
-   component yet get new hubs, linked classes first, GROWTH times as many each turn, until every class of such a bucket has
-   been a hub or all are connected: no pair of a bucket that could connect it remains unconfirmed.  Before each new
-   turn, classes that can have no partner are left out: a partner must hold most of their shingles, so those that
-   occur in no other class of the open buckets are counted, and a class with too many of them is alone there.
-4. Components of the links give the classes of documents.
+3. Stars: every bucket has a hub, and its classes are candidates of the hub only, so a bucket of n gives n pairs, not
+   n squared.  Candidates are confirmed on full sets and linked.
+4. Most buckets then lie in one component.  In the others, a class outside the bucket's main component may still have
+   a partner there, and no link may be lost.  Each class has a parity bitmap: MARK_BITS bits, each the parity of how many
+   of its shingles fall on it.  Bits that differ between two classes are no more than the shingles that only one of
+   them holds, so a join on the bucket whose condition counts them gives only pairs that may reach the threshold; these are
+   confirmed like the rest.  The bound decides nothing alone and drops no link: it tells less the larger the sets, and
+   for sets of over about 4 * MARK_BITS shingles every such pair is confirmed.
+5. Components of the links give the classes of documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import own_names, store, text_or_empty
@@ -31,11 +34,10 @@ SHINGLE, PERCENT = 5, 80
 #: A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 1e-7.
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
-#: From its second turn on, an open bucket has so many times the hubs of the turn before.
-GROWTH = 64
+MARK_BITS = 1024
 #: Bytes of text whose shingles are hashed at once.
 BLOCK = 1 << 18
-SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>, marks array<long>"
 
 
 @lru_cache(maxsize=1)
@@ -148,6 +150,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return values
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """MARK_BITS bits of a set, as 64-bit integers."""
+    odd = np.bincount((hashes % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     mixed_rows = mixed(signatures).reshape(len(signatures), BANDS, ROWS) * numbers()["band"]
     return mixed(mixed_rows.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * numbers()["word"]).view(np.int64)
@@ -156,16 +164,18 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def sketch(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            counts, prints, signatures = [], [], []
+            counts, prints, signatures, marks = [], [], [], []
             for found in sets_of(batch.column("text").to_pylist(), size):
                 counts.append(len(found))
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 if len(found):
                     signatures.append(signature(found))
+                marks.append(parities(found))
             keys = band_keys(np.stack(signatures)) if signatures else np.zeros((0, BANDS), dtype=np.int64)
             offsets = np.cumsum([0] + [BANDS if n else 0 for n in counts]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), bands], names=["doc_id", "n_shingles", "print", "bands"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (MARK_BITS // 64)), pa.array(np.concatenate(marks)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), bands, bits], names=["doc_id", "n_shingles", "print", "bands", "marks"])
 
     return run
 
@@ -188,85 +198,48 @@ def compare(size: int, percent: int):
     return run
 
 
-def exploded(size: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 64):
-            for rep, found in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text").to_pylist(), size), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), rep), pa.int64()), pa.array(np.full(len(found), len(found)), pa.int64()), pa.array(found.view(np.int64))], names=["rep", "n", "h"]
-                )
+def may_link(percent: int, n: str, other_n: str) -> Column:
+    """Whether sets of these sizes can be linked at all: the smaller one at most is shared."""
+    return (100 + percent) * F.least(n, other_n) >= percent * (F.col(n) + F.col(other_n))
 
-    return run
+
+def within_marks(percent: int) -> Column:
+    """Whether the parity bitmaps leave enough shingles to share: (n + hub_n - differing bits) / 2 at most."""
+    differ = reduce(add, [F.bit_count(F.col("marks")[k].bitwiseXOR(F.col("hub_marks")[k])) for k in range(MARK_BITS // 64)])
+    both = F.col("n") + F.col("hub_n")
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on full sets."""
+    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text")
+    return store(both.mapInArrow(compare(size, percent), "a long, b long, linked boolean"), "near-links").where("linked").select("a", "b")
+
+
+def open_buckets(members: DataFrame, known: DataFrame) -> DataFrame:
+    """key, rep, n, of, main: rows of the buckets whose classes, but for the hub that has met them all, are of two or
+    more components.  main is one of these: the least that has links, or the least."""
+    whole = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
+    rest = members.where(F.col("rep") != F.col("hub")).join(whole, F.col("rep") == F.col("node"), "left")
+    rest = rest.select("key", "rep", "n", F.coalesce("component", "rep").alias("of"), F.col("node").isNull().alias("single"))
+    found = rest.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min(F.struct("single", "of"))["of"].alias("main"))
+    return rest.join(found.where(F.col("low") < F.col("high")).select("key", "main"), "key").drop("single")
 
 
-def open_buckets(labelled: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two components and two classes that were no hubs; with the least set size, low_n."""
-    found = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count_if(~F.col("served")).alias("left"), F.min("n").alias("low_n"))
-    return labelled.join(found.where((F.col("low") < F.col("high")) & (F.col("left") > 1)).select("key", "low_n"), "key")
-
-
-def with_partners(state: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of classes that may have a partner in their bucket.  Sets of n and m at the threshold share
-    percent / (100 + percent) * (n + m) shingles, and what they share occurs in two classes of open buckets."""
-    involved = texts.join(state.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    single = involved.mapInArrow(exploded(size), "rep long, n long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rep", "n")).alias("x"))
-    alone = single.where(F.col("times") == 1).groupBy(F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("own"))
-    classes = state.groupBy("rep", "n", "of", "linked").agg(F.collect_list(F.struct("key", "served", "low_n")).alias("places"))
-    classes = classes.join(alone, ["rep", "n"], "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    able = F.filter("places", lambda p: (100 + percent) * F.col("shared") >= percent * (F.col("n") + p["low_n"]))
-    return classes.select("rep", "n", "of", "linked", "shared", F.explode(able).alias("p")).select("p.key", "rep", "n", "shared", "p.served", "of", "linked")
-
-
-def with_keys(state: DataFrame) -> DataFrame:
-    """Every row with all open buckets of its class, BANDS at most."""
-    each = state.groupBy("rep", "n", "shared", "of", "linked").agg(F.collect_list(F.struct("key", "served")).alias("places"))
-    each = each.withColumn("keys", F.transform("places", lambda p: p["key"]))
-    return each.select("rep", "n", "shared", "of", "linked", "keys", F.explode("places").alias("p")).select("p.key", "rep", "n", "shared", "p.served", "of", "linked", "keys")
-
-
-def resolve(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that are linked, from members(key, rep, n) of buckets and texts(doc_id, text)."""
-    state = members.withColumns({"served": F.lit(False), "shared": F.col("n")})
-    tried: DataFrame | None = None
-    known: DataFrame | None = None
-    turn = 0
-    while True:
-        if known is None:
-            labelled = state.withColumns({"of": F.col("rep"), "linked": F.lit(False)})
-        else:
-            whole = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
-            labelled = state.join(whole, F.col("rep") == F.col("node"), "left")
-            labelled = labelled.select("key", "rep", "n", "shared", "served", F.coalesce("component", "rep").alias("of"), F.col("node").isNotNull().alias("linked"))
-        state = store(open_buckets(labelled), "near-open")
-        if turn:
-            able = store(with_partners(state, texts, size, percent), "near-able")
-            state = store(with_keys(open_buckets(able)), "near-open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(GROWTH ** max(0, turn - 1)))
-        rank = F.struct((~F.col("linked")).alias("late"), F.col("rep").alias("hub"), F.col("of").alias("hub_of"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), *([F.col("keys").alias("hub_keys")] if turn else []))
-        hubs = state.where(~F.col("served")).groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("best"))
-        hubs = store(hubs.select("key", "best.*").drop("late"), "near-hubs")
-        if hubs.isEmpty():
-            return known
-        able = (F.col("of") != F.col("hub_of")) & ((100 + percent) * F.least("shared", "hub_shared") >= percent * (F.col("n") + F.col("hub_n")))
-        if turn:  # a pair comes from the first of the buckets that the two share
-            able = able & (F.array_min(F.array_intersect("keys", "hub_keys")) == F.col("key"))
-        used = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        state = store(state.join(used, ["key", "rep"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "near-turn")
-        # two hubs of one bucket meet once
-        pairs = state.join(hubs, "key").where(able & (~F.col("now") | (F.col("rep") > F.col("hub"))))
-        pairs = pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
-        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text")
-        checked = store(checked.mapInArrow(compare(size, percent), "a long, b long, linked boolean"), "near-links")
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        found = checked.where("linked").select("a", "b")
-        if not found.isEmpty():
-            # stars that are known stand for the links before
-            known = components(found if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "near-components")
-        state = state.select("key", "rep", "n", "shared", (F.col("served") | F.col("now")).alias("served"))
-        turn += 1
+def resolve(members: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of the classes that are linked, from members(key, rep, n, hub, hub_n) of buckets, marks(rep,
+    marks) and texts(doc_id, text)."""
+    pairs = members.where((F.col("rep") != F.col("hub")) & may_link(percent, "n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    known = components(confirmed(pairs, texts, size, percent), "near-components")
+    left = store(open_buckets(members, known).join(marks, "rep"), "near-open")
+    others = left.where(F.col("of") != F.col("main")).select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "of", "marks")])
+    met = left.join(others, "key").where((F.col("of") != F.col("hub_of")) & may_link(percent, "n", "hub_n") & within_marks(percent))
+    more = confirmed(met.select(F.greatest("rep", "hub_rep").alias("a"), F.least("rep", "hub_rep").alias("b")), texts, size, percent)
+    if more.isEmpty():
+        return known
+    # stars that are known stand for the links before
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-components")
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -279,20 +252,18 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     rows = own_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     sketches = store(rows.mapInArrow(sketch(size), SKETCH), "near-sketches")
     usable = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = store(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
-    places = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    members = store(places.join(shared, "key").distinct(), "near-members")
+    firsts = [F.first(c).alias(c) for c in ("bands", "marks")]
+    classes = store(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *firsts), "near-classes")
+    places = classes.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key"))
+    shared = places.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("high")).where(F.col("hub.rep") < F.col("high"))
+    members = store(places.join(shared.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "near-members")
     texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = store(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h").where(F.col("text") != ""), "near-texts")
-    known = resolve(members, texts, size, percent)
+    known = resolve(members, classes.select("rep", "marks"), texts, size, percent)
     out = sketches.select("doc_id", "n_shingles", "print").join(classes.select("print", "rep"), "print", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep"))
-    if known is None:
-        return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
     out = out.join(known, F.col("rep") == F.col("node"), "left")
-    linked = F.when(own.isNotNull(), F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
