@@ -10,7 +10,7 @@
    of its shingles fall on it.  Bits that differ between two classes are no more than the shingles that only one of
    them holds, so a join on the bucket whose condition counts them gives only pairs that may reach the threshold; these are
    confirmed like the rest.  The bound decides nothing alone and drops no link: it tells less the larger the sets, and
-   for sets of over about 4 * MARK_BITS shingles every such pair is confirmed.
+   for sets of over about 2.25 * MARK_BITS shingles nearly every such pair is confirmed.
 5. Components of the links give the classes of documents.
 """
 

@@ -391,3 +391,14 @@ def test_hosts_are_shrunk(spark):
     found = {r["doc_id"]: r for r in quality.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert not any(found[i]["kept"] for i in range(400)) and all(found[1000 + i]["kept"] for i in range(800))
     assert found[5001]["host_rate"] < 0.5 and found[5001]["kept"] and not found[5000]["kept"]
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, changed in ((1, 0), (1, 1), (60, 3), (150, 40), (3000, 700)):
+        one = np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64))
+        other = np.unique(np.concatenate((one[changed:], rng.integers(0, 1 << 63, size=changed, dtype=np.uint64))))
+        differ = int(np.bitwise_count((near.parities(one) ^ near.parities(other)).view(np.uint64)).sum())  # of signed values it would count the magnitude
+        apart = len(np.setxor1d(one, other))
+        assert differ <= apart and (apart - differ) % 2 == 0
+        assert differ >= 0.75 * apart or n > 1000
