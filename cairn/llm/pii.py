@@ -1,11 +1,11 @@
 """Personal data by base rules and bootstrapped contextual extraction, in built-in functions only.
 
-Base rules find seeds.  Every seed, and every other word that holds a digit or an at sign, is an instance with the
-patterns of its place: the word before and the word after.  On the graph of patterns and instances, a pattern's
-confidence for a kind is the mean score of its instances (seeds score 1, with one instance's worth of doubt added),
-and an instance that is no seed scores the mean confidence of its patterns.  After ROUNDS rounds, instances whose
-shape is one of the kind's seeds and whose trusted patterns suffice are identifiers of that kind wherever they occur
-in such a place.
+Base rules find seeds.  Every seed, and every other span of one to MAX_WORDS words (outer punctuation stripped) that is
+plausible for some kind by its digits, at sign and separators, is an instance with the patterns of its place: the word
+before and the word after.  On the graph of patterns and instances, a pattern's confidence for a kind is the mean score
+of the instances that are plausible for that kind (weighted by plausibility; seeds score 1, with one instance's worth
+of doubt added), and an instance that is no seed scores the mean confidence of its patterns.  After ROUNDS rounds,
+instances plausible for a kind in a place of a pattern trusted for it are identifiers of that kind.
 """
 
 from __future__ import annotations
@@ -33,7 +33,19 @@ RULES = {
 #: A quick test that a text may hold a match.
 MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 KINDS = list(RULES)
-CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Words that a new instance may be made of: with a digit or an at sign, or of separators alone.
+CANDIDATE = rf"(?<![^{SPACE}])(?:[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+|[-./()+]++(?![^{SPACE}]))"
+#: Words of a new instance, each one white space from the next, and its characters (those of the longest address).
+MAX_WORDS, MAX_CHARS = 7, 254
+#: An instance is taken for a kind from this plausibility on.
+PLAUSIBLE = 0.5
+#: Outer punctuation; a bracket stays if its other half is within.
+LEAD = r"^(?:[\"'<\[{,;:]|\((?![^)]*\)))*+"
+TRAIL = r"(?:[\"'>\]},.;:!?]|(?<!\([^()]{0,80})\))+$"
+_AT = rf"(?:[{SPACE}]++at[{SPACE}]++|[{SPACE}]*+[\[(]at[\])][{SPACE}]*+|[{SPACE}]++@[{SPACE}]*+|@[{SPACE}]++)"
+_DOT = rf"(?:[{SPACE}]++dot[{SPACE}]++|[{SPACE}]*+[\[(]dot[\])][{SPACE}]*+|\.)"
+#: An address that is written out: name at host dot com.
+WRITTEN = rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+{_AT}[a-z0-9-]{{1,64}}+(?:{_DOT}[a-z0-9-]{{1,64}}+){{1,4}}+"
 SPAN = "array<struct<kind:int,start:int,end:int,literal:string>>"
 
 
@@ -90,19 +102,62 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(ordered, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])))
 
 
-def shape(s: Column) -> Column:
-    """Runs of letters as a, of digits as 9; other characters as they are."""
-    return F.regexp_replace(F.regexp_replace(s, r"\p{L}+", "a"), "[0-9]+", "9")
+def plausible(s: Column, kind: str) -> Column:
+    """0 to 1: how far a span may be of a kind by its digits, at sign and separators, context aside."""
+    n = F.length(digits(s))
+    if kind == "email":
+        return F.when(s.rlike(rf"^[^@{SPACE}]*[\p{{L}}\p{{N}}][^@{SPACE}]*@[\p{{L}}\p{{N}}][^@{SPACE}]*$") | s.rlike(f"^{WRITTEN}$"), 1.0).otherwise(0.0)
+    if kind == "ip":
+        other = s.rlike(r"^[0-9]{1,3}(?:[-:,][0-9]{1,3}){3}$") | s.rlike(r"^(?i)(?=.*::|(?:[^:]*:){4})[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}$")
+        return F.when(s.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1.0).when(other, 0.75).otherwise(0.0)
+    if kind == "card":
+        alone = s.rlike(rf"^[0-9][0-9{SPACE}./-]*[0-9]$")
+        return F.when(alone & n.between(13, 19), 1.0).when(alone & n.isin(12, 20), 0.5).otherwise(0.0)
+    alone = s.rlike(rf"^[+(]?[{SPACE}]?[0-9][0-9{SPACE}()./-]*[0-9](?i:[{SPACE}]?(?:x|ext\.?)[{SPACE}]?[0-9]{{1,5}})?$")
+    date = s.rlike(r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})$") | s.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    parted = s.rlike(r"[^0-9]")
+    return F.when(~alone | date | ~n.between(7, 20), 0.0).when(parted & n.between(9, 15), 1.0).when(n.between(9, 15) | (parted & (n < 9)), 0.75).when(n < 9, 0.5).otherwise(0.0)
+
+
+def any_kind(s: Column) -> Column:
+    return F.greatest(*[plausible(s, k) for k in KINDS]) >= PLAUSIBLE
+
+
+def stripped(x: Column) -> Column:
+    """A span without its outer punctuation."""
+    lead = F.length(F.regexp_extract(x["literal"], LEAD, 0))
+    trail = F.length(F.regexp_extract(x["literal"], TRAIL, 0))
+    literal = F.substring(x["literal"], lead + 1, F.greatest(F.length(x["literal"]) - lead - trail, F.lit(0)))
+    return F.struct(x["kind"].alias("kind"), (x["start"] + lead).alias("start"), (x["end"] - trail).alias("end"), literal.alias("literal"))
+
+
+def joined_words(words: Column) -> Column:
+    """Spans of one to MAX_WORDS words that follow each other, one white space apart, which is a space in the literal."""
+
+    def of(k: int) -> Column:
+        def at(i: Column) -> Column:
+            some = F.slice(words, i, F.lit(k))
+            literal = F.concat_ws(" ", F.transform(some, lambda w: w["literal"]))
+            return F.struct(F.lit(-1).alias("kind"), F.element_at(some, 1)["start"].alias("start"), F.element_at(some, -1)["end"].alias("end"), literal.alias("literal"))
+
+        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        near = F.filter(starts, lambda i: F.get(words, i + (k - 2))["end"] - F.get(words, i - 1)["start"] <= MAX_CHARS)
+        return F.filter(F.transform(near, at), lambda x: F.length(x["literal"]) == x["end"] - x["start"])
+
+    return F.concat(*[of(k) for k in range(1, MAX_WORDS + 1)])
 
 
 def instances(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base (spans), others (words with a digit or an at sign outside all base spans), each of
-    these with the words before and after it."""
-    text = F.col("text")
+    """doc_id, text_hash, base (spans), others (plausible spans of words outside all base spans), each of these with
+    the words before and after it."""
+    text, none = F.col("text"), F.array().cast(SPAN)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"))
-    words = F.when(text.rlike("[0-9@]"), found(text, CANDIDATE, -1)).otherwise(F.array().cast(SPAN))
-    outside = F.filter(words, lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    words = F.when(text.rlike("[0-9@]"), found(text, CANDIDATE, -1)).otherwise(none)
+    written_out = F.when(text.rlike(r"(?i)[\x20\x09-\x0D\[(]at[\x20\x09-\x0D\])]|[\x20\x09-\x0D]@|@[\x20\x09-\x0D]"), found(text, WRITTEN, -1)).otherwise(none)
+    rows = rows.select("doc_id", "text", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), words.alias("words"), written_out.alias("written_out"))
+    spans = F.filter(F.transform(F.concat(joined_words(F.col("words")), "written_out"), stripped), lambda w: any_kind(w["literal"]))
+    rows = rows.select("doc_id", "text", "text_hash", "base", spans.alias("plausible"))
+    outside = F.filter("plausible", lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     rows = rows.select("doc_id", "text", "text_hash", "base", outside.alias("others"))
 
     def placed(x: Column) -> Column:
@@ -115,22 +170,35 @@ def instances(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(items: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
-    """Discovered (pattern, literal, kind) from rows (pattern, literal, kind: -1 if no seed)."""
-    edges = store(items.groupBy("pattern", "literal").agg(F.max("kind").alias("seed")), "pii-edges")
-    known = edges.where(F.col("seed") >= 0).select("literal", F.col("seed").alias("kind")).distinct()
+    """Discovered (pattern, literal, kind, confidence, weight) from rows (pattern, literal, kind: -1 if no seed)."""
+    edges = items.groupBy("pattern", "literal").agg(F.max("kind").alias("seed"))
+    weight = lambda i, k: F.struct(F.lit(i).alias("kind"), F.when(F.col("seed") == i, 1.0).otherwise(plausible(F.col("literal"), k)).alias("weight"))
+    edges = edges.select("pattern", "literal", "seed", F.explode(F.array(*[weight(i, k) for i, k in enumerate(KINDS)])).alias("x"))
+    edges = store(edges.select("pattern", "literal", "seed", "x.*").where(F.col("weight") >= PLAUSIBLE), "pii-edges")
+    known = edges.where(F.col("seed") == F.col("kind")).select("literal", "kind").distinct()
     scores = known.withColumn("score", F.lit(1.0))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    shapes = known.select("kind", shape(F.col("literal")).alias("shape")).distinct()
-    fresh = edges.join(known.select("literal").distinct(), "literal", "left_anti").select("pattern", "literal", shape(F.col("literal")).alias("shape"))
+    sizes = edges.groupBy("pattern", "kind").agg(F.sum("weight").alias("n"))
+    fresh = edges.join(known.select("literal").distinct(), "literal", "left_anti").select("pattern", "literal", "kind")
     confident = None
     for turn in range(rounds):
-        marked = edges.join(scores, "literal").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum(F.floor(F.col("score"))).alias("seeds"))
-        confident = marked.join(sizes, "pattern").select("pattern", "kind", "seeds", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
+        marked = edges.join(scores, ["literal", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("weight")).alias("mass"), F.sum(F.floor(F.col("score"))).alias("seeds"))
+        confident = marked.join(sizes, ["pattern", "kind"]).select("pattern", "kind", "seeds", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
         confident = confident.where(F.col("seeds") >= seeds)
-        guessed = fresh.join(confident, "pattern").join(shapes, ["kind", "shape"], "left_semi").groupBy("literal", "kind").agg(F.avg("confidence").alias("score"))
+        guessed = fresh.join(confident, ["pattern", "kind"]).groupBy("literal", "kind").agg(F.avg("confidence").alias("score"))
         scores = store(known.withColumn("score", F.lit(1.0)).unionByName(guessed.where(F.col("score") < 1)), f"pii-scores-{turn}")
-    trusted = confident.where(F.col("confidence") >= trust).select("pattern", "kind")
-    return fresh.join(trusted, "pattern").join(shapes, ["kind", "shape"], "left_semi").select("pattern", "literal", "kind").distinct()
+    trusted = confident.where(F.col("confidence") >= trust).select("pattern", "kind", "confidence")
+    return edges.join(trusted, ["pattern", "kind"]).select("pattern", "literal", "kind", "confidence", "weight")
+
+
+def apart(spans: Column) -> Column:
+    """Of spans(kind, rank, start, end, literal) of one kind that overlap, the one of the highest rank."""
+    empty = F.array().cast("array<struct<kind:int,rank:double,start:int,end:int,literal:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        met = F.exists(acc, lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(met, acc).otherwise(F.array_append(acc, x))
+
+    return F.transform(F.aggregate(F.sort_array(spans, False), empty, step), lambda x: F.struct(x["kind"], x["start"], x["end"], x["literal"]))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -146,7 +214,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     places = each.withColumn("pattern", F.explode(F.array(pattern("before"), pattern("after")))).where((F.length("pattern") > 2))
     found_ = bootstrap(places)
     new = places.where(F.col("kind") < 0).drop("kind").join(found_, ["pattern", "literal"])
-    new = new.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end", "literal")).alias("new"))
+    # trusted on both sides comes before trusted on one, then the likelier, then the longer
+    new = new.groupBy("doc_id", "text_hash", "kind", "start", "end", "literal").agg(F.countDistinct("pattern").alias("sides"), F.max(F.col("confidence") * F.col("weight")).alias("likely"))
+    rank = F.col("sides") * 1000 + F.floor(F.col("likely") * 100) + (F.col("end") - F.col("start")) / 1000
+    spans = F.struct("kind", rank.cast("double").alias("rank"), "start", "end", "literal")
+    new = new.groupBy("doc_id", "text_hash").agg(apart(F.collect_set(spans)).alias("new"))
     new = new.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.col("new").cast(SPAN).alias("new"))
     joined = rows.join(new, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
     number = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")

@@ -127,6 +127,15 @@ def test_pii_discovers(spark):
     assert found[12]["n_card"] == 0 and found[12]["spans"] == "card:12:28" and found[13]["spans"] == ""
 
 
+def test_pii_discovers_other_forms(spark):
+    texts = [f"badge: user{i}@mail.example.com end" for i in range(20)] + ["badge: user77@intranet, end", "badge: ann at example dot com end"]
+    texts += [f"call +1 (212) 555-{i:04d} today" for i in range(20)] + ["call 555-123-4567. today", "call (826) 555-4081 today", "call 12 today"]
+    texts += [f"card {luhn_number(i)} ok" for i in range(20)] + ["card 4111 1111 1111 1112 ok", "lone 4111 1111 1111 1112 there", "call 2024-05-06 today"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    new = {r["doc_id"]: r["spans"] for r in rows if r["spans"] != r["base"]}
+    assert new == {20: "email:7:22", 21: "email:7:29", 42: "phone:5:17", 43: "phone:5:19", 65: "card:5:24"}
+
+
 def luhn_number(i):
     body = f"4111111111{i:05d}"
     s = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(body)))
