@@ -2,7 +2,8 @@
 
 Features are hashed n-grams of lower-cased characters, present or not.  Labelled rows give every feature a log ratio of
 its smoothed share among toxic and other documents; the features that differ most are kept, their values are scaled
-by the ratio, and a logistic regression with an L2 penalty is fitted on them.
+by the ratio, and a logistic regression with an L2 penalty is fitted on them.  The sample of a class is bounded; the
+constant is set back to the share of toxic ones among all labels.
 """
 
 from __future__ import annotations
@@ -133,12 +134,21 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, steps: int
     return w, b
 
 
+def prior_shift(counts: dict[int, int]) -> float:
+    """What the log-odds of labels by class lose when of each class SAMPLE rows at most are learnt from."""
+    if not counts.get(1) or not counts.get(0):
+        return 0.0
+    taken = {c: min(counts[c], n) for c, n in SAMPLE.items()}
+    return float(np.log(counts[1] / counts[0]) - np.log(taken[1] / taken[0]))
+
+
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1)) -> Model:
     """Fit on labelled rows outside the held-out fold.  The sample of labels is bounded by SAMPLE, and so is what is
     broadcast (identifiers) and collected (kept features of sampled documents)."""
     spark = docs.sparkSession
     usable = own_names(labels, ["doc_id", "toxic"]).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.where(id_remainder("doc_id", fold[0]) != fold[1]).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in SAMPLE.items()]
     sample = own_names(docs, ["doc_id", "text"]).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     sample = store(sample.select("doc_id", "toxic", "text"), "toxicity-sample")
@@ -164,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1)) ->
 
     rows = sorted(sample.mapInArrow(reduced, "doc_id long, toxic int, hits binary").collect(), key=lambda r: (r["doc_id"], r["hits"]))
     w, b = fit([np.frombuffer(r["hits"], dtype="<i4") for r in rows], np.array([r["toxic"] for r in rows], dtype=float), ratio)
-    return Model(column, (w * ratio).astype(np.float64), float(b))
+    return Model(column, (w * ratio).astype(np.float64), float(b) + (prior_shift(labelled) if n1 and n0 else 0.0))
 
 
 def scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1)) -> DataFrame:

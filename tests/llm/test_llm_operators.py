@@ -165,6 +165,20 @@ def test_toxicity(spark, docs, empty):
     assert set(toxicity.present(long)) == set(np.concatenate([toxicity.buckets(toxicity.characters(long), n) for n in toxicity.SIZES]))
 
 
+def test_toxicity_keeps_the_share_of_toxic_ones(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        marked = rnd.random() < (0.7 if toxic else 0.06)  # of marked documents, 56% are toxic: below the threshold
+        rows.append((i, rnd.choice(["plain words", "other words", "more text"]) + (" zqvile" if marked else "")))
+        labels.append((i, int(toxic)))
+    table, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    whole = bag(toxicity.score_documents(table, marks), "doc_id", "predicted")
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 4000, 0: 300})
+    assert bag(toxicity.score_documents(table, marks), "doc_id", "predicted") == whole
+
+
 def test_shards(docs, empty):
     found = sharding.shard_rows(docs, sharding.even(40), sharding.even(41)).collect()
     slots = collections.defaultdict(list)
