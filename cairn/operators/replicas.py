@@ -93,30 +93,41 @@ def migration_preview(copies: DataFrame, contents: DataFrame, volumes: DataFrame
     return moved.crossJoin(room).withColumn("feasible", F.col("free") >= F.col("copy_bytes"))  # one row each
 
 
-def migration_plan(copies: DataFrame, contents: DataFrame, free: dict[str, int], source: str, slices: int = 8) -> DataFrame:
-    """sha256, volume_path: contents of the source dealt to the volume with most room left, largest first; null if none
-    takes it.  The greedy choice is sequential, so contents are dealt to slices by hash, each with its share of the
-    room, and every slice is folded in order without being held."""
-    todo = copies.where(F.col("volume_path") == source).select("sha256").distinct().join(contents.select("sha256", "size"), "sha256")
-    todo = todo.withColumn("slice", F.pmod(F.xxhash64("sha256"), F.lit(slices)).cast("int"))
-    ordered = todo.repartition(slices, "slice").sortWithinPartitions("slice", F.desc("size"), "sha256")
+def migration_plan(copies: DataFrame, contents: DataFrame, free: dict[str, int], source: str) -> DataFrame:
+    """sha256, size, action, volume_path, new_primary of contents with a copy on the source or their primary there.
+
+    action: "there" if a target holds a copy, else "copy" to volume_path, the target with most room left, largest
+    contents first, or "skip" if that one does not take it; null if only the primary is on the source.  new_primary
+    replaces a primary on the source: the copy elsewhere with the least id, else the new copy, else null.
+
+    Each choice depends on all before it, so one task folds the contents that no target holds, sorted and streamed;
+    only the room left is held.
+    """
     names = sorted(free)
+    here = copies.where(F.col("volume_path") == source).select("sha256").distinct()
+    there = copies.where(F.col("volume_path").isin(names)).select("sha256").distinct()
+    ordered = here.join(there, "sha256", "left_anti").join(contents.select("sha256", "size"), "sha256").repartition(1).sortWithinPartitions(F.desc("size"), "sha256")
 
     def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, room = None, {}
+        room = {v: free[v] for v in names}
         for pdf in batches:
             chosen = []
-            for part, size in zip(pdf["slice"], pdf["size"], strict=True):
-                if part != current:
-                    current, room = part, {v: free[v] // slices for v in names}
+            for size in pdf["size"]:
                 best = max(names, key=lambda v: room[v]) if names else None
-                fits = best is not None and room[best] >= size
+                fits = best is not None and room[best] > 0 and room[best] >= size
                 if fits:
                     room[best] -= size
                 chosen.append(best if fits else None)
-            yield pdf[["sha256", "size"]].assign(volume_path=pd.Series(chosen, index=pdf.index, dtype=object))
-
-    return ordered.mapInPandas(fold, "sha256 string, size bigint, volume_path string")
+            yield pdf[["sha256"]].assign(volume_path=pd.Series(chosen, index=pdf.index, dtype=object))
+
+    dealt = ordered.mapInPandas(fold, "sha256 string, volume_path string").withColumn("action", F.when(F.col("volume_path").isNull(), "skip").otherwise("copy"))
+    held = here.join(there, "sha256", "left_semi").select("sha256", F.lit(None).cast("string").alias("volume_path"), F.lit("there").alias("action"))
+    stale = F.startswith("primary", F.lit(source))
+    primaries = contents.select("sha256", "size", F.col("stored_at").alias("primary"))
+    elsewhere = copies.where(F.col("volume_path") != source).groupBy("sha256").agg(F.min_by("stored_at", "id").alias("alternative"))
+    fresh = F.when(F.col("action") == "copy", F.concat_ws("/", "volume_path", F.lit("_content"), F.substring("sha256", 1, 2), "sha256"))
+    rows = primaries.join(dealt.unionByName(held), "sha256", "left").where(F.col("action").isNotNull() | stale).join(elsewhere, "sha256", "left")
+    return rows.select("sha256", "size", "action", "volume_path", F.when(stale, F.coalesce("alternative", fresh)).alias("new_primary"))
 
 
 def unencrypted(contents: DataFrame, copies: DataFrame, volumes: DataFrame) -> DataFrame:

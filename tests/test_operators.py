@@ -72,6 +72,23 @@ def test_replicas(spark):
     assert R.pick_volume(volumes, 100).first()[0] == "/b"
 
 
+def test_migration_plan_is_one_greedy(spark):
+    free = {"/a": 100, "/b": 70}
+    sizes = {"big": 90, "c1": 40, "c2": 35, "c3": 30, "c4": 8, "held": 60, "moved": 1}
+    contents = spark.createDataFrame([(s, n, f"/s/_content/{s[:2]}/{s}") for s, n in sizes.items()], "sha256 string, size bigint, stored_at string")
+    copies = [(i, s, "/s", f"/s/_content/{s[:2]}/{s}") for i, s in enumerate(sizes) if s != "moved"] + [(10, "held", "/b", "/b/held"), (11, "moved", "/x", "/x/moved"), (12, "c4", "/x", "/x/c4")]
+    room, want = dict(free), {"held": ("there", None, "/b/held"), "moved": (None, None, "/x/moved")}
+    for s in sorted(set(sizes) - set(want), key=lambda s: (-sizes[s], s)):
+        best = max(sorted(room), key=lambda v: room[v])
+        fits = room[best] >= sizes[s]
+        room[best] -= sizes[s] * fits
+        new = f"{best}/_content/{s[:2]}/{s}" if fits else None
+        want[s] = ("copy" if fits else "skip", best if fits else None, "/x/c4" if s == "c4" else new)
+    found = R.migration_plan(spark.createDataFrame(copies, "id bigint, sha256 string, volume_path string, stored_at string"), contents, free, "/s").collect()
+    assert {r["sha256"]: (r["action"], r["volume_path"], r["new_primary"]) for r in found} == want and len(found) == len(want)
+    assert want["big"][1] == "/a" and any(x[0] == "skip" for x in want.values())
+
+
 def test_throttle_and_batches(spark):
     samples = spark.createDataFrame([(i, "/v", 1.0, T0 + timedelta(minutes=m)) for i, m in enumerate((0, 10, 30, 59, 61))], "id bigint, volume_path string, used_pct double, sampled_at timestamp_ntz")
     assert sorted(r["id"] for r in S.throttled(samples).collect()) == [0, 2, 4]
