@@ -120,7 +120,7 @@ def test_pii(docs, empty):
 def test_pii_discovers(spark):
     texts = [f"badge: user{i}@mail.example.com end" for i in range(20)] + ["badge: user77@intranet end", "other user78@intranet text"]
     found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert found[20]["spans"] == "" or found[20]["spans"].startswith("email:7:")
+    assert found[20]["spans"] == "email:7:22"
     assert all(found[i]["spans"] == found[i]["base"] != "" for i in range(20)) and found[21]["spans"] == ""
     numbers = [f"card number {4111111111111111} ok" if i == 0 else f"card number {luhn_number(i)} ok" for i in range(12)] + ["card number 4111111111111112 ok", "some 4111111111111112 here"]
     found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(numbers)), "doc_id bigint, text string")).collect()}
