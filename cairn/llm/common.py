@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only separator of words here: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
@@ -53,3 +54,29 @@ def store(df: DataFrame, label: str) -> DataFrame:
 def own_names(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator works on, so that extra columns of the input can't clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in keep])
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of a table in one struct, so that none of them can clash with an operator's own; select("row.*")
+    gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows(row, keys) that share the keys, the least row by its columns in their order (any one if a column has no
+    order, as maps); its columns alone."""
+    pick = F.min if orderable(rows.schema["row"].dataType) else F.first
+    return rows.groupBy(*keys).agg(pick("row").alias("row")).select("row.*")
+
+
+def id_key(column: Column) -> Column:
+    """An identifier as text, so that null is a value like others; no number is written as an empty text."""
+    return F.coalesce(column.cast("string"), F.lit(""))

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm.common import own_names, text_or_empty
+from cairn.llm.common import boxed, id_key, one_of_each, own_names, text_or_empty
 from cairn.llm.tokens import small
 
 #: Bytes of text that a trie holds in memory.
@@ -144,15 +145,18 @@ class Trie:
             yield from part.owners()
 
 
-def folded(batch: pa.RecordBatch) -> tuple[list[int | None], list[bytes]]:
-    """Identifiers, and texts as UTF-8 with A-Z lower-cased (bytes of other characters are never in that range)."""
-    column = batch.column("text")
+def folded_texts(column: pa.Array) -> list[bytes]:
+    """Texts as UTF-8 with A-Z lower-cased (bytes of other characters are never in that range); null is empty."""
     column = (column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column).fill_null(b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     low = bytes(memoryview(data)[at[0] : at[-1]]).lower() if data is not None and len(at) else b""
     at = (at - at[0]).tolist() if len(at) else [0]
-    return batch.column("doc_id").to_pylist(), [low[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+    return [low[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+
+
+def folded(batch: pa.RecordBatch) -> tuple[list[int | None], list[bytes]]:
+    return batch.column("doc_id").to_pylist(), folded_texts(batch.column("text"))
 
 
 def merge_batches(largest: bool):
@@ -200,18 +204,23 @@ def owner_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["n_bytes", "digest", "keep_id", "group_size"])
 
 
-def with_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def id_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches, ROWS):
-        _, bodies = folded(batch)
+        ids, bodies = folded(batch)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],
-            names=[*batch.schema.names, "n_bytes__", "digest__"],
+            [pa.array(ids, pa.int64()), pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],
+            names=["doc_id", "row_bytes", "row_digest"],
         )
 
 
-def id_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in with_digests(batches):
-        yield batch.select(["doc_id", "n_bytes__", "digest__"])
+def row_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows with their length and digest."""
+    for batch in small(batches, ROWS):
+        bodies = folded_texts(batch.column("row").field("text"))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())],
+            names=[*batch.schema.names, "row_bytes", "row_digest"],
+        )
 
 
 def text_owners(docs: DataFrame, keep: str = "smallest", limit: int = TRIE_BYTES) -> DataFrame:
@@ -232,16 +241,18 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     that stays all count as kept; a null identifier stays only if its group has no other.
     """
     rows = own_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    marked = rows.mapInArrow(id_digests, "doc_id long, n_bytes__ long, digest__ binary")
-    return joined(marked, text_owners(docs, keep)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest__")).alias("text_sha256"))
-
-
-def joined(marked: DataFrame, owners: DataFrame) -> DataFrame:
-    out = marked.join(owners, (F.col("n_bytes__") == F.col("n_bytes")) & (F.col("digest__") == F.col("digest")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    marked = rows.mapInArrow(id_digests, "doc_id long, row_bytes long, row_digest binary")
+    out = marked.join(text_owners(docs, keep), (F.col("row_bytes") == F.col("n_bytes")) & (F.col("row_digest") == F.col("digest")))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("row_digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes__ long, digest__ binary"
-    return joined(docs.mapInArrow(with_digests, schema), text_owners(docs, keep)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of the rows of docs(doc_id, text, ...) with equal texts, the one whose identifier exact_groups keeps, with the
+    columns of docs, whatever their names.  If rows with that identifier and text are repeated, one of them stays: the
+    least by its columns in their order."""
+    rows = docs.select(boxed(docs))
+    schema = T.StructType([rows.schema["row"], T.StructField("row_bytes", T.LongType()), T.StructField("row_digest", T.BinaryType())])
+    marked = rows.mapInArrow(row_digests, schema).withColumn("row_id", id_key(F.col("row.doc_id").cast("long")))
+    owners = text_owners(docs, keep).select(F.col("n_bytes").alias("row_bytes"), F.col("digest").alias("row_digest"), id_key(F.col("keep_id")).alias("row_id"))
+    keys = ["row_bytes", "row_digest", "row_id"]  # the identifier is in the key: a large group of copies falls apart
+    return one_of_each(marked.join(owners, keys, "left_semi"), keys)

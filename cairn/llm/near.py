@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import own_names, store, text_or_empty
+from cairn.llm.common import boxed, id_key, one_of_each, own_names, store, text_or_empty
 from cairn.llm.graph import components
 from cairn.llm.tokens import small
 
@@ -37,7 +37,7 @@ BINS = ROWS * BANDS
 MARK_BITS = 1024
 #: Bytes of text whose shingles are hashed at once.
 BLOCK = 1 << 18
-SKETCH = "doc_id long, n_shingles long, print binary, bands array<long>, marks array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, marks array<long>"
 
 
 @lru_cache(maxsize=1)
@@ -175,7 +175,7 @@ def sketch(size: int):
             offsets = np.cumsum([0] + [BANDS if n else 0 for n in counts]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (MARK_BITS // 64)), pa.array(np.concatenate(marks)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), bands, bits], names=["doc_id", "n_shingles", "print", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), bands, bits], names=["doc_id", "text_hash", "n_shingles", "print", "bands", "marks"])
 
     return run
 
@@ -242,30 +242,58 @@ def resolve(members: DataFrame, marks: DataFrame, texts: DataFrame, size: int, p
     return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-components")
 
 
-def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
+def near_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, first_hash of every row of docs(doc_id, text): the class of
+    near-duplicates by its least doc_id, and the hash of that row's text.
 
-    Words are lower-cased in A-Z; a text of fewer words than a shingle is one shingle; one without words (or null) is
-    linked with nothing, nor is a row without doc_id.  component_id is the least doc_id reachable over links, a row's
-    own included.  Of rows repeated with one doc_id, each gets the component of its own text.
+    A class of equal sets is numbered by its place in the order of its least doc_id, so that one doc_id with several
+    texts is no tie.
     """
     rows = own_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketches = store(rows.mapInArrow(sketch(size), SKETCH), "near-sketches")
     usable = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     firsts = [F.first(c).alias(c) for c in ("bands", "marks")]
-    classes = store(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *firsts), "near-classes")
+    classes = usable.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), *firsts)
+    # numbers follow the range partitions, so their order is that of doc_id
+    ordered = classes.select("print", "n", "at.doc_id", "at.text_hash", "bands", "marks").orderBy("doc_id", "text_hash", "print")
+    classes = store(ordered.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
     places = classes.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key"))
     shared = places.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("high")).where(F.col("hub.rep") < F.col("high"))
     members = store(places.join(shared.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "near-members")
-    texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = store(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h").where(F.col("text") != ""), "near-texts")
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    texts = rows.join(wanted, ["doc_id", "text_hash"]).select(F.col("rep").alias("doc_id"), "text")
+    texts = store(texts.groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")  # repeated rows have one text
     known = resolve(members, classes.select("rep", "marks"), texts, size, percent)
-    out = sketches.select("doc_id", "n_shingles", "print").join(classes.select("print", "rep"), "print", "left")
-    out = out.join(known, F.col("rep") == F.col("node"), "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
+    heads = classes.select(F.col("rep").alias("head"), F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
+    named = classes.select("print", "rep").join(known, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("head"))
+    named = named.join(heads, "head").select("print", "component_id", "first_hash")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "print").join(named, "print", "left")
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("first_hash")).otherwise(F.col("text_hash")).alias("first_hash"))
+
+
+def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
+
+    Words are lower-cased in A-Z; a text of fewer words than a shingle is one shingle; one without words (or null) is
+    linked with nothing, nor is a row without doc_id.  component_id is the least doc_id reachable over links, a row's
+    own included.  Of rows repeated with one doc_id, each gets the component of its own text.
+    """
+    return near_rows(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """near_classes with kept: one document of each component, the one that names it."""
     return near_classes(docs, size, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with the columns of docs, whatever their names: the one that names it, and of rows
+    repeated with that identifier and text the least by its columns.  A row without identifier stays, as does one
+    without words, one of each text."""
+    found = near_rows(docs, size, percent)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    keys = found.where(stays).select(id_key(F.col("doc_id")).alias("row_id"), F.col("text_hash").alias("row_hash")).distinct()
+    rows = docs.select(boxed(docs)).select("row", id_key(F.col("row.doc_id").cast("long")).alias("row_id"), F.xxhash64(text_or_empty("row.text")).alias("row_hash"))
+    return one_of_each(rows.join(keys, ["row_id", "row_hash"], "left_semi"), ["row_id", "row_hash"])

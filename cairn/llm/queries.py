@@ -15,7 +15,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixture = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixture.select("doc_id", "size", "source_size", "target", "taken")
+    draws = F.concat_ws(",", F.transform("draws", lambda d: F.concat_ws(":", d["pass"], d["shard"])))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken", draws.alias("draws"))
 
 
 def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.even(SHARD_COUNT), sharding.even(SHARD_COUNT + 1))
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.even(SHARD_COUNT), sharding.with_shard(sharding.even(SHARD_COUNT)))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -84,8 +84,15 @@ def test_mix(docs, empty):
         taken[r["source"]] += r["taken"]
     again = mixing.mix(docs).select("doc_id", "taken")
     assert bag(again, "doc_id", "taken") == collections.Counter((r["doc_id"], r["taken"]) for r in found)
+    for name in names:  # as near as half a document that could still be taken
+        target = fixed.get(name, level * weight[name])
+        assert abs(taken[name] - target) <= max((len(words(r[1])) for r in ROWS if r[3] == name), default=0)
     assert mixing.mix(empty).count() == 0
-    assert mixing.shuffled(mixing.mix(docs), docs.columns).count() == sum(len(r["draws"]) for r in found)
+    drawn = collections.Counter({r["doc_id"]: 0 for r in found})
+    for r in found:
+        drawn[r["doc_id"]] += len(r["draws"])
+    assert collections.Counter(r["doc_id"] for r in mixing.mixed(docs).collect()) == +drawn
+    assert collections.Counter(tuple(r) for r in mixing.mixed(docs).dropDuplicates(["doc_id", "text"]).collect()) <= collections.Counter(ROWS)
 
 
 def test_quota_tree():
@@ -161,10 +168,53 @@ def test_toxicity(spark, docs, empty):
     assert found[600]["score"] == found[601]["score"] and found[600]["predicted"] == 0
     assert toxicity.score_documents(docs, marks.where("false")).count() == len(ROWS)
     assert toxicity.score_documents(empty, marks).count() == 0
+    names = [c for c in ("score", "predicted", "row", "text", "doc_id")]
+    clash = spark.createDataFrame([(7.0, 5, "r", "zqvile " + rows[1][1], 9000), (7.0, 5, "r", rows[1][1], 9001)], "score double, predicted int, row string, text string, doc_id bigint")
+    assert [tuple(r["row"]) for r in toxicity.marked(clash.unionByName(table, allowMissingColumns=True), marks).where("predicted = 0 AND row.doc_id > 8999").collect()] == [(7.0, 5, "r", rows[1][1], 9001)]
+    assert clash.columns == names
     long = "x" * (toxicity.BLOCK + 77) + " zqvile"
     assert set(toxicity.present(long)) == set(np.concatenate([toxicity.buckets(toxicity.characters(long), n) for n in toxicity.SIZES]))
 
 
+def test_toxicity_by_brute_force():
+    """n-grams, ratios, the fitted optimum and a score against plain loops."""
+    texts = ["abcdefg hij", "ABCDEfg", "", "zzzz", "éa\U0001f600bc", "abc"]
+
+    def bucket(gram):
+        m = [int(x) for x in toxicity.MULTIPLIERS]
+        h = (len(gram) * m[0] + sum(ord(c) * m[k + 1] for k, c in enumerate(gram))) % (1 << 64)
+        return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)) >> (64 - toxicity.BITS)
+
+    sets = []
+    for t in texts:
+        t = f" {t.lower()} "
+        sets.append({bucket(t[i : i + n]) for n in toxicity.SIZES for i in range(len(t) - n + 1)})
+        assert set(toxicity.present(texts[len(sets) - 1])) == sets[-1]
+    rnd = random.Random(3)
+    rows = [np.array(sorted(rnd.sample(range(12), rnd.randint(0, 6))), dtype=np.int32) for _ in range(80)]
+    toxic = np.array([float(3 in r or rnd.random() < 0.2) for r in rows])
+    p = np.array([sum(j in r for r, t in zip(rows, toxic) if t) for j in range(12)])
+    q = np.array([sum(j in r for r, t in zip(rows, toxic) if not t) for j in range(12)])
+    n1, n0 = int(toxic.sum()), int(80 - toxic.sum())
+    ratio = toxicity.log_ratio(p, q, n1, n0)
+    assert ratio == pytest.approx([math.log((p[j] + 1) / (n1 + 2)) - math.log((q[j] + 1) / (n0 + 2)) for j in range(12)])
+    w, b = toxicity.fit(rows, toxic, ratio, 3000)
+    slope, level = toxicity.PENALTY * w, toxicity.PENALTY * b
+    for r, t in zip(rows, toxic):
+        error = 1 / (1 + math.exp(-(b + sum(w[j] * ratio[j] for j in r)))) - t
+        level += error
+        for j in r:
+            slope[j] += error * ratio[j]
+    assert np.abs(slope).max() < 0.05 and abs(level) < 0.05  # the gradient of the penalised loss vanishes
+    column = np.full(1 << toxicity.BITS, -1, dtype=np.int32)
+    kept = sorted(sets[0])[:5]
+    column[kept] = np.arange(5)
+    model = toxicity.Model(column, np.array([0.5, -1.0, 2.0, 0.25, -0.5]), -0.3)
+    for t, have in zip(texts, sets):
+        z = -0.3 + sum(x for f, x in zip(kept, model.weight) if f in have)
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_keeps_the_share_of_toxic_ones(spark, monkeypatch):
     rnd = random.Random(6)
     rows, labels = [], []
@@ -180,7 +230,7 @@ def test_toxicity_keeps_the_share_of_toxic_ones(spark, monkeypatch):
 
 
 def test_shards(docs, empty):
-    found = sharding.shard_rows(docs, sharding.even(40), sharding.even(41)).collect()
+    found = sharding.shard_rows(docs, sharding.even(40), sharding.with_shard(sharding.even(40))).collect()
     slots = collections.defaultdict(list)
     for r in found:
         slots[r["shard"]].append(r["slot"])
@@ -191,14 +241,25 @@ def test_shards(docs, empty):
     assert sharding.shard_rows(empty, sharding.even(3)).count() == 0
 
 
-def test_shard_weights_confine_movement(spark):
+def test_shard_tree_confines_movement(spark):
     rows = spark.range(20_000).selectExpr("id AS doc_id", "'' AS text")
-    weights = sharding.even(24)
-    heavier = [*weights[:5], 3.0, *weights[6:]]
-    found = sharding.shard_rows(rows, weights, heavier).collect()
-    assert all(r["grown_shard"] in (r["shard"], 5) for r in found)
-    share = sum(r["grown_shard"] == 5 for r in found) / len(found)
-    assert abs(share - 3 / 26) < 0.01
+    nodes = sharding.even(24)
+    heavier = sharding.tree([3.0 if i == 5 else 1.0 for i in range(24)])
+    region = {s: r for r, of in enumerate(nodes) for rack in of for s, _ in rack}
+    rack = {s: (r, k) for r, of in enumerate(nodes) for k, rack in enumerate(of) for s, _ in rack}
+    found = sharding.shard_rows(rows, nodes, heavier).collect()
+    assert all((r["region"], r["rack"]) == rack[r["shard"]] for r in found)
+    for r in found:
+        old, new = r["shard"], r["grown_shard"]
+        if old != new:  # into the region of the changed shard, or into its rack, or into it
+            assert region[new] == region[5]
+            assert region[old] != region[5] or (rack[new] == rack[5] and (rack[old] != rack[5] or new == 5))
+    counts = collections.Counter(r["grown_shard"] for r in found)
+    assert abs(counts[5] / len(found) - 3 / 26) < 0.01 and all(abs(counts[i] / len(found) - 1 / 26) < 0.008 for i in range(24) if i != 5)
+    more = sharding.shard_rows(rows, nodes, sharding.with_shard(nodes)).collect()
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in more)
+    assert abs(sum(r["grown_shard"] == 24 for r in more) / len(more) - 1 / 25) < 0.008
+    assert {r["shard"] for r in sharding.shard_rows(rows, sharding.tree([0.0, 1.0, 0.0, 0.0, 0.0, 2.0])).collect()} == {1, 5}
 
 
 def exact_components(rows, size, percent):
@@ -229,6 +290,17 @@ def test_near(docs, empty, size):
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in found)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
     assert near.near_dedup(empty, size=size).count() == 0
+    left = near.drop_near_copies(docs, size).collect()
+    assert collections.Counter(r["doc_id"] for r in left) == collections.Counter({c for _, c in want.values()})
+    assert collections.Counter(tuple(r) for r in left) <= collections.Counter(ROWS) and near.drop_near_copies(empty, size).count() == 0
+
+
+def test_near_one_identifier_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (None, a), (None, None), (4, ""), (4, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert bag(near.near_dedup(table), "doc_id", "component_id") == collections.Counter([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (None, None), (4, 4), (4, 4)])
+    assert bag(near.drop_near_copies(table), "doc_id", "text") == collections.Counter([(1, a), (1, b), (None, a), (None, None), (4, "")])
 
 
 def test_near_chains_and_centres(spark):
@@ -278,7 +350,12 @@ def test_exact(docs, empty):
         want = collections.Counter((i, pick(v), len(v), i == pick(v), hashlib.sha256(k.encode()).hexdigest()) for k, v in groups.items() for i in v)
         assert bag(exact.exact_groups(docs, keep), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     assert exact.exact_groups(empty).count() == 0
-    assert sorted(exact.drop_copies(docs).columns) == sorted(docs.columns)
+    want = {(pick, k) for k, v in groups.items() for pick in [min(v)]}
+    assert collections.Counter((r["doc_id"], low(r["text"])) for r in exact.drop_copies(docs).collect()) == collections.Counter(want)
+    clash = docs.selectExpr("*", "doc_id AS n_bytes", "'d' AS digest", "1 AS row_id", "2 AS row_digest", "map('a', 1) AS owner", "'k' AS keep_id")
+    got = exact.drop_copies(clash).collect()
+    assert exact.drop_copies(clash).columns == clash.columns
+    assert all((r["n_bytes"], r["digest"], r["row_id"], r["row_digest"], r["keep_id"], r["kept"]) == (r["doc_id"], "d", 1, 2, "k", "z") for r in got) and len(got) == len(want)
 
 
 def test_trie_spills(tmp_path):
