@@ -20,7 +20,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of the documents at hand."""
-    return toxicity.scored(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.marked(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    kept = near.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return near.drop_near_copies(docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: some documents twice, some not at all, in shuffled shards."""
-    return mixing.shuffled(mixing.mix(docs), docs.columns)
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
