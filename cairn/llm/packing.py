@@ -1,10 +1,12 @@
 """Packing documents into token sequences by bin completion.
 
 Documents become token ids and an end id, cut only if longer than a sequence.  Groups of pieces, dealt by hash, are
-packed by themselves: around the largest piece left, undominated fillings are enumerated and tried by least waste;
-branches whose waste already costs the sequences that the incumbent saves are pruned; the incumbent at the start is
-best-fit decreasing, and a packing that meets the bound of the sums is taken at once.  What lies in badly filled
-sequences of a group is packed again with that of other groups.
+packed by themselves: around the largest piece left, undominated fillings are enumerated one after the other by least
+waste, as many as the search asks for; branches whose waste already costs the sequences that the incumbent saves are
+pruned; the incumbent at the start is best-fit decreasing, and a packing that meets the bound of the sums is proven and
+taken at once.  Otherwise passes allow 0, 1, 2, 4, ... departures from the least waste, until a pass leaves nothing out
+(a proof) or SEARCH fillings have been tried.  What lies in badly filled sequences of a group is packed again with
+that of other groups.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ END_ID = 0
 GROUP, REPACK = 4096, 32
 #: A sequence with this many places left is repacked.
 LOOSE = 32
-#: Fillings tried around a piece, steps to enumerate them, and steps of a whole search besides those of its first dive.
-FILLINGS, STEPS, SEARCH = 3, 200, 50_000
+#: Fillings tried in the search of a group, besides those of its first dive.
+SEARCH = 2000
 #: Characters above which a text is encoded in chunks.
 LONG = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +45,7 @@ class Stock:
 
     def __init__(self, lengths: Iterable[int]):
         self.counts: dict[int, int] = {}
-        self.mask = self.items = self.steps = 0
+        self.mask = self.items = 0
         for n in lengths:
             self.add(n)
 
@@ -63,45 +65,65 @@ class Stock:
         return (self.mask & ((1 << (most + 1)) - 1)).bit_length() - 1 if most >= 0 else -1
 
 
-def fillings(stock: Stock, room: int, most: int = FILLINGS, steps: int = STEPS) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, least waste first.  A filling is maximal: nothing left fits besides it; one
-    piece that fills the room dominates all others.  Within `steps`, larger pieces are tried first."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = steps
-
-    def grow(space: int, cap: int, have: tuple[int, ...]) -> bool:
-        nonlocal left
-        n = stock.largest(min(space, cap))
-        if n < 0:
-            if stock.largest(space) < 0:  # maximal
-                found.append((space, have))
-            return space == 0
-        while n >= 0 and left > 0:
-            left -= 1
-            stock.steps += 1
-            stock.take(n)
-            done = grow(space - n, n, (*have, n))
-            stock.add(n)
-            if done:
-                return True
-            n = stock.largest(min(n - 1, cap))
-        return False
-
-    grow(room, room, ())
-    found.sort()
-    return [have for _, have in found[:most]] or [greedy(stock, room)]
-
-
-def greedy(stock: Stock, room: int) -> tuple[int, ...]:
-    """Largest pieces first, while they fit."""
-    have: list[int] = []
-    while (n := stock.largest(room)) >= 0:
-        stock.take(n)
-        have.append(n)
-        room -= n
+def dominated(stock: Stock, have: tuple[int, ...], waste: int) -> bool:
+    """Whether another filling does at least as well whatever follows: one that holds, in place of some pieces of this
+    one (or of none), a single piece of the stock that is at least their sum and at most that plus the waste."""
+    left = stock.mask
+    for n in set(have):
+        if stock.counts[n] == have.count(n):
+            left &= ~(1 << n)
+    one = more = 0  # sums of one piece, and of several
     for n in have:
-        stock.add(n)
-    return tuple(have)
+        more |= (more << n) | (one << n)
+        one |= 1 << n
+    above, reach = 0, 1  # bit a of `above`: a piece of a + 1 to a + waste is left
+    if waste:
+        above = left >> 1
+        while reach < waste:
+            step = min(reach, waste - reach)
+            above |= above >> step
+            reach += step
+    return bool(above & (one | more | 1) or left & more)
+
+
+def fillings(stock: Stock, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room that waste no more, least waste first.  Bits of reach[i] are the sums that the
+    lengths from the i-th on can make, so no branch is entered that leads nowhere."""
+    lengths = []
+    n = stock.largest(room)
+    while n > 0:
+        lengths.append((n, min(stock.counts[n], room // n)))
+        n = stock.largest(n - 1)
+    inside = (1 << (room + 1)) - 1
+    reach = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        n, count = lengths[i]
+        sums, block = reach[i + 1], 1
+        while count > 0:  # shifts by 1, 2, 4, ... pieces
+            part = min(block, count)
+            sums |= (sums << (n * part)) & inside
+            count -= part
+            block *= 2
+        reach[i] = sums
+
+    def exact(i: int, space: int) -> Iterator[tuple[int, ...]]:
+        while space and i < len(lengths):
+            n, count = lengths[i]
+            i += 1
+            for k in range(min(count, space // n), 0, -1):
+                if reach[i] >> (space - k * n) & 1:
+                    for rest in exact(i, space - k * n):
+                        yield (n,) * k + rest
+            if not reach[i] >> space & 1:
+                return
+        if not space:
+            yield ()
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for have in exact(0, room - waste):
+                if not dominated(stock, have, waste):
+                    yield have
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
@@ -125,64 +147,69 @@ def best_fit(lengths: Iterable[int], capacity: int) -> list[list[int]]:
 
 
 def complete(lengths: list[int], capacity: int, search: int = SEARCH) -> list[list[int]]:
-    """Bins of lengths, as few as the search proves or finds: one dive, then steps up to `search`."""
+    """Bins of lengths, as few as the search proves or finds."""
     incumbent = best_fit(lengths, capacity)
     bound = -(-sum(lengths) // capacity)
-    if len(incumbent) <= bound:
-        return incumbent
-    stock = Stock(lengths)
-    slack = lambda: (len(incumbent) - 1) * capacity - sum(lengths)  # noqa: E731  waste that a better packing may have
-    allowed, waste = slack(), 0
-    path: list[list] = []  # [largest, fillings left, filling in use]
-    dived = False
-
-    def undo(level: list) -> None:
-        nonlocal waste
-        waste -= capacity - level[0] - sum(level[2])
-        for n in level[2]:
-            stock.add(n)
-
-    while True:
-        if stock.items == 0:
-            incumbent = [[level[0], *level[2]] for level in path]
-            if len(incumbent) <= bound:
-                return incumbent
-            allowed = slack()
-            if not dived:
-                dived, stock.steps = True, 0
+    departures, tried = 0, 0
+    while len(incumbent) > bound:
+        spare = (len(incumbent) - 1) * capacity - sum(lengths)  # waste that a better packing may have
+        found, whole, tried = descend(Stock(lengths), capacity, spare, departures, tried, search)
+        if found:
+            incumbent = found
+        elif whole or tried > search:
+            break
         else:
-            top = stock.largest(capacity)
-            stock.take(top)
-            path.append([top, fillings(stock, capacity - top)[::-1], None])
-        # use the next filling of the deepest level that has one
+            departures = max(1, 2 * departures)
+    return incumbent
+
+
+def descend(stock: Stock, capacity: int, spare: int, departures: int, tried: int, search: int) -> tuple[list[list[int]] | None, bool, int]:
+    """(a packing that wastes no more than spare, or None; whether nothing was left out; fillings tried).  The k-th
+    filling around a piece is k departures; the first dive is not counted among the fillings tried."""
+    path: list[list] = []  # [largest, its fillings, the one in use, its number]
+    waste = used = 0
+    whole = True
+    while stock.items:
+        top = stock.largest(capacity)
+        stock.take(top)
+        path.append([top, fillings(stock, capacity - top, spare - waste), None, -1])
         while path:
             level = path[-1]
-            if level[2] is not None:
-                undo(level)
-                level[2] = None
-            if level[1] and (not dived or stock.steps < search):
-                level[2] = level[1].pop()
-                for n in level[2]:
+            top, ways, filling, number = level
+            if filling is not None:
+                for n in filling:
+                    stock.add(n)
+                waste -= capacity - top - sum(filling)
+                used -= number
+            number += 1
+            tried += departures > 0
+            if used + number > departures or tried > search:
+                filling, whole = None, False
+            else:
+                filling = next(ways, None)
+            if filling is not None:
+                for n in filling:
                     stock.take(n)
-                waste += capacity - level[0] - sum(level[2])
-                if waste <= allowed:
-                    break
-                if not dived:
-                    dived, stock.steps = True, 0
-                continue
-            stock.add(level[0])
+                waste += capacity - top - sum(filling)
+                used += number
+                level[2:] = filling, number
+                break
+            stock.add(top)
             path.pop()
         if not path:
-            return incumbent
+            return None, whole, tried
+    return [[top, *filling] for top, _, filling, _ in path], True, tried
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Ids of texts by the vocabulary file.  The file's merges are checked to be in the order of their ids; then
-    tiktoken's byte-pair engine with the file's own vocabulary gives the same ids several times faster.  Texts with
-    an added token's string, huge ones, and files of other kinds go through tokenizers."""
-    import tiktoken
-
+    """Ids of texts by the vocabulary file, as tokenizers gives them.  Where tiktoken is installed and the file's merges
+    are in the order of their ids, its byte-pair engine with the file's own vocabulary gives the same ids several
+    times faster.  Texts with an added token's string, huge ones, and files of other kinds go through tokenizers."""
+    try:
+        import tiktoken
+    except ModuleNotFoundError:
+        tiktoken = None
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
@@ -192,7 +219,7 @@ def encoder(path: str):
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer") and not model.get("ignore_merges")
     ordered = plain and len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
     fast = None
-    if ordered:
+    if ordered and tiktoken:
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]

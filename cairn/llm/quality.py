@@ -1,4 +1,8 @@
-"""Quality rules with verdicts by host: failures of a host are shrunk with an empirical beta prior."""
+"""Quality rules with verdicts by host: a host's failures of each rule are shrunk with an empirical beta prior.
+
+A document fails the base rules or passes them; besides, each host has a rate of failing documents for every rule,
+shrunk towards the corpus rate of that rule, and a host with a rate far above the corpus's is rejected as a whole.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,17 @@ from cairn.llm.common import SPACE, own_names, store, text_or_empty
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected when its shrunk rate of failing documents is above this.
-HOST_RATE = 0.5
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 25, 50
+#: A host is rejected when its shrunk rate of documents that fail a rule, less one posterior standard deviation, is above
+#: EXCESS times the corpus rate, but not below the first of HOST_RATES and in any case above the second.
+EXCESS, HOST_RATES = 3.0, (0.25, 0.5)
+#: Rules, on the figures of measure(); the first two are the base rules.
+RULES = {
+    "words": lambda: F.col("n_words") < MIN_WORDS,
+    "repeats": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+    "symbols": lambda: 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
+    "lines": lambda: 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+}
 #: Bounds on the prior's strength, in documents.
 PRIOR_DOCS = (2.0, 1000.0)
 SYMBOLS = "#*$%&|<>"
@@ -48,7 +61,7 @@ def covered(places: str) -> Column:
 
 
 def measure(docs: DataFrame, host: Column) -> DataFrame:
-    """The rules' figures for docs(doc_id, text): doc_id, host, n_words, word_chars, n_symbols, n_dup_lines,
+    """The rules' figures for docs(doc_id, text): doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words (words in a 5-word window that the text holds twice or more, the first included), base_failed.
     A null text has no words; windows are compared by 64-bit hashes of their words.
     """
@@ -64,51 +77,61 @@ def measure(docs: DataFrame, host: Column) -> DataFrame:
     rows = rows.select(
         "doc_id", "host", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"),
     )
-    figures = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    figures = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     rows = rows.select(*figures, window_hashes("hashed").alias("windows"))
     rows = rows.select(*figures, ordered_if_repeated("windows").alias("pairs"))
     rows = rows.select(*figures, repeated_places("pairs").alias("places"))
     rows = rows.select(*figures, covered("places").alias("n_repeat_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", RULES["words"]() | RULES["repeats"]())
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate: the beta posterior mean of each host's failure rate.
+    """host, n_docs, rates (for each rule the beta posterior mean of the host's failure rate), rejected.
 
-    The prior's mean is the corpus rate and its strength comes from the spread of the hosts' rates by moments
-    (between-host variance less what binomial noise explains), kept within PRIOR_DOCS.  One row a host; hosts
+    A rule's prior has the corpus rate as its mean, and its strength comes from the spread of the hosts' rates by
+    moments (between-host variance less what binomial noise explains), kept within PRIOR_DOCS.  One row a host; hosts
     are aggregated before the shuffle, so a host with a third of all rows is no hot spot.
     """
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    whole = hosts.agg(
-        F.sum("n_failed").alias("k"), F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("m"),
-        F.sum(F.col("n_docs") * raw * raw).alias("squares"), F.sum(F.col("n_docs") * F.col("n_docs")).cast("double").alias("nn"),
-    )
-    mean = F.col("k") / F.col("n")
-    noise = mean * (1 - mean)
-    spread = (F.col("squares") - F.col("n") * mean * mean - (F.col("m") - 1) * noise) / F.greatest(F.col("n") - F.col("nn") / F.col("n"), F.lit(1e-9))
-    strength = F.when(spread > 0, F.greatest(F.lit(PRIOR_DOCS[0]), F.least(F.lit(PRIOR_DOCS[1]), noise / spread - 1))).otherwise(F.lit(PRIOR_DOCS[1]))
-    prior = whole.select(mean.alias("mean"), strength.alias("strength"))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    # one row against all hosts: the prior is a single row by construction
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "n_docs", "n_failed", rate.alias("rate"))
-
-
-def apply_rules(docs: DataFrame, host: Column | None = None, host_rate: float = HOST_RATE) -> DataFrame:
+    fails = [F.sum(rule().cast("long")).alias(name) for name, rule in RULES.items()]
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails)
+    n = F.col("n_docs")
+    sums = [F.sum(n).alias("n"), F.count(F.lit(1)).alias("m"), F.sum((n * n).cast("double")).alias("nn")]
+    for name in RULES:
+        sums += [F.sum(name).alias(f"k_{name}"), F.sum(F.col(name) * F.col(name) / n).alias(f"squares_{name}")]
+    whole = hosts.agg(*sums)
+
+    def prior(name: str) -> Column:
+        mean = F.col(f"k_{name}") / F.col("n")
+        noise = mean * (1 - mean)
+        spread = (F.col(f"squares_{name}") - F.col("n") * mean * mean - (F.col("m") - 1) * noise) / F.greatest(F.col("n") - F.col("nn") / F.col("n"), F.lit(1e-9))
+        strength = F.when(spread > 0, F.greatest(F.lit(PRIOR_DOCS[0]), F.least(F.lit(PRIOR_DOCS[1]), noise / spread - 1))).otherwise(F.lit(PRIOR_DOCS[1]))
+        limit = F.least(F.lit(HOST_RATES[1]), F.greatest(F.lit(HOST_RATES[0]), EXCESS * mean))
+        return F.struct(mean.alias("mean"), strength.alias("strength"), limit.alias("limit")).alias(name)
+
+    priors = whole.select(*[prior(name).alias(f"prior_{name}") for name in RULES])
+    # one row against all hosts: the priors are a single row by construction
+    rated = hosts.join(F.broadcast(priors), F.lit(True))
+    rate = lambda name: (F.col(name) + F.col(f"prior_{name}.mean") * F.col(f"prior_{name}.strength")) / (n + F.col(f"prior_{name}.strength"))
+    doubt = lambda name: F.sqrt(rate(name) * (1 - rate(name)) / (n + F.col(f"prior_{name}.strength") + 1))
+    rejected = F.lit(False)
+    for name in RULES:
+        rejected = rejected | (rate(name) - doubt(name) > F.col(f"prior_{name}.limit"))
+    return rated.select("host", "n_docs", F.struct(*[rate(name).alias(name) for name in RULES]).alias("rates"), rejected.alias("rejected"))
+
+
+def apply_rules(docs: DataFrame, host: Column | None = None) -> DataFrame:
     """Figures, base verdict and kept for every row of docs(doc_id, text, source).
 
-    Rows: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate,
-    kept.  kept is false when the base rules fail, or when the shrunk failure rate of the host is above
-    `host_rate`.  A null host is a host of its own.  Repeated rows are judged each; an empty table gives none.
+    Rows: doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, host_rates,
+    host_rejected, kept.  kept is false when the base rules fail, or when the host is rejected.  A null host is a host
+    of its own.  Repeated rows are judged each; an empty table gives none.
     """
     rows = own_names(docs, ["doc_id", "text", "source"])
     measured = store(measure(rows, F.col("source") if host is None else host), "quality")
-    rates = host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"))
+    rates = host_rates(measured).select(F.col("host").alias("of"), F.col("rates").alias("host_rates"), F.col("rejected").alias("host_rejected"))
     out = measured.join(rates, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate))
-
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
