@@ -34,6 +34,17 @@ def one_latest(versions: DataFrame) -> DataFrame:
     return best.select("label", F.col("x.id").alias("id"), F.col("x.version_key").alias("version_key"))
 
 
+def latest_by_key(versions: DataFrame) -> DataFrame:
+    """label, id, version_key: the finished version with the greatest key."""
+    best = done(versions).groupBy("label").agg(F.max(F.struct("version_key", "id")).alias("x"))
+    return best.select("label", F.col("x.id").alias("id"), F.col("x.version_key").alias("version_key"))
+
+
+def page(rows: DataFrame, key: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """One page in the order of a key, which a page without order lacks."""
+    return rows.orderBy(*key).offset(offset).limit(limit)
+
+
 def version_sizes(files: DataFrame, contents: DataFrame) -> DataFrame:
     """version_id, n_files, total_size; files without a content count with size 0."""
     sized = files.select("version_id", "sha256").join(contents.select("sha256", "size"), "sha256", "left")

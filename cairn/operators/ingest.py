@@ -14,12 +14,12 @@ IGNORED = (".DS_Store", "Thumbs.db", "desktop.ini")
 
 
 def check_files(asked: DataFrame, files: DataFrame, contents: DataFrame, version_id: int) -> DataFrame:
-    """For asked(ordinal, path, sha256): whether an upload is needed, and why not."""
-    mine = files.where(F.col("version_id") == version_id).select("path", "sha256", F.lit(True).alias("registered"))
+    """For asked(ordinal, path, sha256): whether an upload is needed, why not, and the id of a file that is registered."""
+    mine = files.where(F.col("version_id") == version_id).select("path", "sha256", F.lit(True).alias("registered"), F.col("id").alias("file_id"))
     known = contents.select("sha256", F.lit(True).alias("known"))
     rows = asked.join(mine, ["path", "sha256"], "left").join(known, "sha256", "left")
     reason = F.when(F.col("registered"), "registered").when(F.col("known"), "content_exists").otherwise("new")
-    return rows.select("ordinal", "path", F.col("registered").isNull().alias("needs_upload"), (F.coalesce("registered", F.lit(False)) | F.coalesce("known", F.lit(False))).alias("content_exists"), reason.alias("reason"))
+    return rows.select("ordinal", "path", F.col("registered").isNull().alias("needs_upload"), (F.coalesce("registered", F.lit(False)) | F.coalesce("known", F.lit(False))).alias("content_exists"), reason.alias("reason"), "file_id")
 
 
 def register_batch(asked: DataFrame, files: DataFrame, contents: DataFrame, version_id: int) -> DataFrame:
@@ -32,6 +32,20 @@ def register_batch(asked: DataFrame, files: DataFrame, contents: DataFrame, vers
     return both.select("path", F.coalesce("new_sha", "sha256").alias("sha256"), F.coalesce("new_mtime", "mtime").alias("mtime"))
 
 
+def register_results(asked: DataFrame, contents: DataFrame) -> DataFrame:
+    """ordinal, path, registered, reason for every request row."""
+    rows = asked.join(contents.select("sha256", F.lit(True).alias("known")), "sha256", "left")
+    return rows.select("ordinal", "path", F.col("known").isNotNull().alias("registered"), F.when(F.col("known"), "registered").otherwise("missing").alias("reason"))
+
+
+def valid_requests(asked: DataFrame, most: int = 500) -> DataFrame:
+    """ordinal, valid of asked(ordinal, batch, sha256, size): a digest of 64 characters, no negative size, and one to `most`
+    rows in its batch."""
+    sizes = asked.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    rows = asked.join(sizes, "batch")
+    return rows.select("ordinal", (F.coalesce(F.length("sha256") == 64, F.lit(False)) & F.coalesce(F.col("size") >= 0, F.lit(False)) & (F.col("n") <= most)).alias("valid"))
+
+
 def register_counts(asked: DataFrame, contents: DataFrame) -> DataFrame:
     known = contents.select("sha256", F.lit(True).alias("known"))
     return asked.join(known, "sha256", "left").agg(F.count_if(F.col("known").isNotNull()).alias("registered"), F.count_if(F.col("known").isNull()).alias("missing"))
@@ -44,6 +58,15 @@ def inherit(files: DataFrame, source: int, target: int) -> DataFrame:
     return rows.select(F.lit(target).cast("bigint").alias("version_id"), "path", "sha256", "mtime")
 
 
+def inherit_counts(versions: DataFrame, files: DataFrame, source: int, target: int) -> DataFrame:
+    """allowed (the target is running), inherited and skipped rows of inherit()."""
+    rows = files.where(F.col("version_id") == source).agg(F.count(F.lit(1)).alias("n"))
+    taken = inherit(files, source, target).agg(F.count(F.lit(1)).alias("inherited"))
+    allowed = versions.where(F.col("id") == target).agg(F.coalesce(F.bool_and(F.col("status") == "running"), F.lit(False)).alias("allowed"))
+    out = allowed.crossJoin(taken).crossJoin(rows)  # one row each
+    return out.select("allowed", F.when(F.col("allowed"), F.col("inherited")).otherwise(0).alias("inherited"), F.when(F.col("allowed"), F.col("n") - F.col("inherited")).otherwise(0).alias("skipped"))
+
+
 def local_changes(listing: DataFrame, previous: DataFrame, contents: DataFrame) -> DataFrame:
     """For listing(path, sha256, size, mtime) against the previous snapshot: fast (same time and size, no read), then
     skip, register or upload by content."""
@@ -84,8 +107,10 @@ def batches(listing: DataFrame, files: int = BATCH_FILES, size: int = BATCH_BYTE
     return ordered.mapInPandas(fold, "group string, path string, size bigint, batch bigint")
 
 
-def restore_plan(paths: DataFrame, prefix: str, excluded: list[str]) -> DataFrame:
-    """For paths(path): the path below the prefix and whether it is unsafe, ignored, excluded or processed."""
+def restore_plan(paths: DataFrame, prefix: str, excluded: list[str], only_below: bool = False) -> DataFrame:
+    """For paths(path): the path below the prefix and whether it is unsafe, ignored, excluded or processed.  Paths elsewhere
+    are kept whole, or left out with only_below."""
+    paths = paths.where(F.startswith("path", F.lit(prefix))) if only_below else paths
     below = F.when(F.startswith("path", F.lit(prefix)), F.substr(F.col("path"), F.lit(len(prefix) + 1))).otherwise(F.col("path"))
     relative = F.ltrim(below, F.lit("/"))
     parts = F.split("relative", "/")

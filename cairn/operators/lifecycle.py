@@ -50,6 +50,16 @@ def retention(versions: DataFrame, now: datetime) -> DataFrame:
     return tiers.withColumn("keep", F.row_number().over(newest) == 1).drop("bucket")
 
 
+def retention_counts(versions: DataFrame, now: datetime) -> DataFrame:
+    """label, tier, n_kept, n_deleted of the retention."""
+    return retention(versions, now).groupBy("label", "tier").agg(F.count_if("keep").alias("n_kept"), F.count_if(~F.col("keep")).alias("n_deleted"))
+
+
+def previewed(versions: DataFrame, cutoff: datetime) -> DataFrame:
+    """n_labels, n_versions that a cleanup by date would delete."""
+    return before_date(versions, cutoff).agg(F.countDistinct("label").alias("n_labels"), F.count(F.lit(1)).alias("n_versions"))
+
+
 def overtaken(versions: DataFrame) -> DataFrame:
     """Failed and incomplete versions with a newer finished one of their label."""
     newer = done(versions).groupBy("label").agg(F.max("created_at").alias("newest"))
@@ -70,22 +80,45 @@ def damage(versions: DataFrame, files: DataFrame, present: DataFrame) -> DataFra
     return done(versions).join(hit, "id").select("id", "label", "n_missing")
 
 
-def cleanup_plan(versions: DataFrame, files: DataFrame, contents: DataFrame, need: int) -> DataFrame:
-    """Versions in the order of deletion until `need` bytes are free: step, id, freed, upto.
+def by_day(rows: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The rows with the running total of a value in the order (which begins with created_at), in each group.  Totals of
+    days, of which there are few, are summed up first; then each day adds up its own rows by itself."""
+    rows = rows.withColumn("day", F.to_date("created_at"))
+    upto = Window.partitionBy(*groups).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*groups, "day").agg(F.sum(value).alias("of_day")).select(*groups, "day", F.coalesce(F.sum("of_day").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*groups, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("own", F.sum(value).over(inside)).join(days, [*groups, "day"]).withColumn(name, (F.col("before") + F.col("own")).cast("bigint")).drop("day", "own", "before")
 
-    Incomplete and failed versions go first, then finished ones by age but the last of their label.  A content is
-    freed at the last step of the versions that hold it, if all of them are deletable.  The one ordering over all
-    deletable versions is of versions, not of files.
+
+def cleanup_plan(versions: DataFrame, files: DataFrame, contents: DataFrame, copies: DataFrame, volumes: DataFrame, factor: int, threshold: int) -> DataFrame:
+    """Versions in the order of deletion until `factor` healthy volumes have `threshold` bytes free: step, id, n_ready.
+
+    If they have at the start, there is nothing to do.  Step 0 deletes all incomplete and failed versions; then
+    finished ones go one at a time by age, but for the last of their label by time.  A content goes with the last
+    version that holds it, or at once if no version does, from all volumes that have it.  n_ready are the volumes
+    that are ready after the step.
     """
-    deletable = versions.where(F.col("status").isin("failed", "incomplete") | (F.col("status") == "done")).join(latest_by_id(versions).select("id"), "id", "left_anti")
-    rank = F.when(F.col("status") == "done", 1).otherwise(0)
-    steps = deletable.select("id", F.row_number().over(Window.orderBy(rank, "created_at", "id")).cast("bigint").alias("step"))
-    held = files.select(F.col("version_id").alias("id"), "sha256").distinct().join(steps, "id", "left")
-    free = held.groupBy("sha256").agg(F.max("step").alias("step"), F.count_if(F.col("step").isNull()).alias("kept")).where(F.col("kept") == 0)
-    freed = free.join(contents.select("sha256", "size"), "sha256").groupBy("step").agg(total("size").alias("freed"))
-    ordered = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plan = steps.join(freed, "step", "left").withColumn("freed", F.coalesce("freed", F.lit(0)).cast("bigint")).withColumn("upto", F.sum("freed").over(ordered))
-    return plan.where(F.col("upto") - F.col("freed") < need).select("step", "id", "freed", "upto")
+    stale = versions.where(F.col("status").isin("failed", "incomplete")).select("id", F.lit(0).cast("bigint").alias("step"), F.lit(datetime(1, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    ranked = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("created_at"), F.desc("id")))
+    old = done(versions).withColumn("rn", ranked).where(F.col("rn") > 1).select("id", "created_at").withColumn("group", F.lit(0))
+    old = by_day(old, ["group"], ["created_at", "id"], F.lit(1), "step").select("id", "step", "created_at")
+    steps = stale.unionByName(old)
+    held = files.select(F.col("version_id").alias("id"), "sha256").distinct().join(steps.select("id", "step"), "id", "left")
+    last = held.groupBy("sha256").agg(F.max("step").alias("step"), F.count_if(F.col("step").isNull()).alias("kept"))
+    going = contents.select("sha256", "size").join(last, "sha256", "left").where(F.coalesce("kept", F.lit(0)) == 0)
+    going = going.join(copies.select("sha256", "volume_path"), "sha256").select("volume_path", "size", F.coalesce("step", F.lit(0)).alias("step"))
+    freed = going.groupBy("volume_path", "step").agg(F.sum("size").alias("freed"))
+    # volumes are few: each step meets each of them once
+    healthy = volumes.where(~F.col("degraded")).select(F.col("path").alias("volume_path"), "free")
+    # the first step is there even without stale versions: what no version holds goes with whatever is deleted first
+    first = volumes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("step"), F.lit(datetime(1, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    grid = old.select("step", "created_at").unionByName(first).crossJoin(healthy).join(freed, ["volume_path", "step"], "left").withColumn("freed", F.coalesce("freed", F.lit(0)))
+    ready = by_day(grid, ["volume_path"], ["created_at", "step"], F.col("freed"), "upto").where(F.col("free") + F.col("upto") >= threshold).groupBy("step").agg(F.count(F.lit(1)).alias("n_ready"))
+    ready = grid.select("step").distinct().join(ready, "step", "left").select("step", F.coalesce("n_ready", F.lit(0)).cast("bigint").alias("n_ready"))
+    start = healthy.agg(F.count_if(F.col("free") >= threshold).alias("at_start"))
+    end = ready.agg(F.min(F.when(F.col("n_ready") >= factor, F.col("step"))).alias("end"))
+    plan = steps.select("id", "step").join(ready, "step").crossJoin(start).crossJoin(end)  # one row each
+    return plan.where((F.col("at_start") < factor) & (F.col("step") <= F.coalesce("end", F.col("step")))).select("step", "id", "n_ready")
 
 
 def beyond_rotation(names: DataFrame, keep: int = 7) -> DataFrame:
@@ -101,6 +134,16 @@ def old_temporaries(files: DataFrame, cutoff: datetime, prefixes: tuple[str, ...
     return files.where(match & (F.col("modified") < at(cutoff))).agg(F.count(F.lit(1)).alias("n_files"), total("size").alias("n_bytes"))
 
 
+def prefix_counts(tables: dict[str, tuple[DataFrame, str]], old: str, new: str) -> DataFrame:
+    """name, n_rows, n_moved, n_new (rows already under the new folder) for each table's path column."""
+    out = None
+    for name, (rows, column) in tables.items():
+        under = lambda folder, c=column: (F.col(c) == folder) | F.startswith(c, F.lit(folder.rstrip("/") + "/"))
+        counts = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(under(old)).alias("n_moved"), F.count_if(under(new)).alias("n_new")).select(F.lit(name).alias("name"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def moved_paths(rows: DataFrame, column: str, old: str, new: str) -> DataFrame:
     """Paths under the folder `old` put under `new`; a sibling that only shares the prefix stays."""
     under = (F.col(column) == old) | F.startswith(column, F.lit(old.rstrip("/") + "/"))

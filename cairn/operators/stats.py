@@ -7,12 +7,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.scalars import trend_class, utc_range
 from cairn.operators.catalog import change_counts, done, latest_by_id, latest_by_time, one_latest, previous_done, seconds, total, version_sizes
 
 TREND, RECENT = timedelta(days=30), timedelta(hours=24)
 SAMPLES_KEPT = 48
-#: The pattern of removed versions and of freed megabytes in job summaries.
-REMOVED, FREED = r"(\d+) versoes removidas", r"(\d+(?:\.\d+)?) MB"
+#: The texts of removed versions and of freed megabytes in job summaries, and the jobs that leave them.
+REMOVED, FREED = r"(\d+) versão\(ões\) removidas", r"\(([\d.]+) MB\)"
+CLEANUPS = ("cleanup-by-date", "auto-cleanup", "cleanup-versions", "nightly-cleanup")
 
 
 def counts(labels: DataFrame, versions: DataFrame) -> DataFrame:
@@ -65,15 +67,14 @@ def cloud_counts(cloud_jobs: DataFrame) -> DataFrame:
     return cloud_jobs.agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if("enabled").alias("n_enabled"))
 
 
-def label_lifecycle(versions: DataFrame, jobs: DataFrame, now: datetime, jobs_since: datetime) -> DataFrame:
-    new = versions.where(F.col("created_at") >= F.lit(now - TREND).cast("timestamp_ntz")).agg(F.countDistinct("label").alias("n_labels"))
-    text = F.col("summary")
-    removed = F.try_element_at(F.regexp_extract_all(text, F.lit(REMOVED), F.lit(1)), F.lit(1)).cast("bigint")
-    freed = F.try_element_at(F.regexp_extract_all(text, F.lit(FREED), F.lit(1)), F.lit(1)).cast("double")
-    cleaned = jobs.where((F.col("started_at") >= F.lit(jobs_since).cast("timestamp_ntz")) & removed.isNotNull()).agg(
-        total(removed).alias("n_cleaned"), total((F.coalesce(freed, F.lit(0.0)) * 1048576).cast("bigint")).alias("freed_bytes")
-    )
-    return new.crossJoin(cleaned)  # one row each
+def label_lifecycle(labels: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:
+    """n_labels made in the last 30 days; n_cleaned and freed_bytes that the summaries of finished cleanups tell, whenever
+    they ran.  A summary without one of the two texts counts with the other."""
+    new = labels.where(F.col("created_at") >= F.lit(now - TREND).cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("n_labels"))
+    first = lambda rule: F.try_element_at(F.regexp_extract_all(F.col("summary"), F.lit(rule), F.lit(1)), F.lit(1))
+    freed = F.floor(F.coalesce(first(FREED).try_cast("double"), F.lit(0.0)) * 1024 * 1024)
+    cleaned = jobs.where(F.col("job_type").isin(*CLEANUPS) & (F.col("status") == "done") & F.col("summary").isNotNull())
+    return new.crossJoin(cleaned.agg(total(first(REMOVED).cast("bigint")).alias("n_cleaned"), total(freed).alias("freed_bytes")))  # one row each
 
 
 def label_activity(labels: DataFrame, versions: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def reclaimable_by_label(versions: DataFrame, files: DataFrame, contents: DataFr
     old = done(versions).select(F.col("id").alias("version_id"), "label").join(keepers, "version_id", "left_anti")
     held = old.join(files.select("version_id", "sha256"), "version_id").select("label", "sha256").distinct()
     sizes = held.join(kept, "sha256", "left_anti").join(contents.select("sha256", "size"), "sha256").groupBy("label").agg(total("size").alias("reclaimable"))
-    return sizes.where(F.col("reclaimable") > 0).join(old.groupBy("label").agg(F.count(F.lit(1)).alias("n_old")), "label")
+    return sizes.where(F.col("reclaimable") > 0).join(old.groupBy("label").agg(F.count(F.lit(1)).alias("n_old")), "label").orderBy(F.desc("reclaimable"), "label")
 
 
 def running(versions: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -105,8 +106,9 @@ def running(versions: DataFrame, files: DataFrame, contents: DataFrame) -> DataF
 
 
 def recent_diffs(versions: DataFrame, files: DataFrame, now: datetime, span: timedelta = RECENT, n: int = 30) -> DataFrame:
-    """The last versions that ended within the span, with changes against the finished version before."""
-    ended = versions.where(F.col("finished_at") >= F.lit(now - span).cast("timestamp_ntz")).orderBy(F.desc("finished_at"), F.desc("id")).limit(n)
+    """The last versions that ended within the span, with changes against the finished version before; null for those that
+    did not finish."""
+    ended = versions.where(F.col("status").isin("done", "failed", "incomplete") & (F.col("finished_at") >= F.lit(now - span).cast("timestamp_ntz"))).orderBy(F.desc("finished_at"), F.desc("id")).limit(n)
     pairs = previous_done(versions).join(ended.select("id"), "id", "left_semi").select("id", "previous_id")
     return ended.select("id", "label", "status").join(change_counts(pairs, files), "id", "left")
 
@@ -126,6 +128,14 @@ def daily_digest(versions: DataFrame, files: DataFrame, start: datetime, end: da
     return rows.groupBy("label").agg(tally("n_done", status == "done"), tally("n_failed", status == "failed"), tally("n_other", ~status.isin("done", "failed")), *[total(c).alias(c) for c in ("added", "modified", "removed")])
 
 
+def digest_totals(versions: DataFrame, files: DataFrame, day: datetime, zone: str = "UTC") -> DataFrame:
+    """n_versions, n_labels and changes of a zone's day, over all labels; stored times are of UTC then."""
+    edges = versions.sparkSession.range(1).select(*[c.alias(n) for c, n in zip(utc_range(F.lit(day.date()), zone), ("start", "end"), strict=True)])
+    found = versions.crossJoin(edges).where((F.col("created_at") >= F.col("start")) & (F.col("created_at") < F.col("end"))).select(*versions.columns)  # one row
+    pairs = previous_done(versions).join(found.select("id"), "id", "left_semi").select("id", "previous_id")
+    return found.join(change_counts(pairs, files), "id", "left").agg(F.count(F.lit(1)).alias("n_versions"), F.countDistinct("label").alias("n_labels"), *[total(c).alias(c) for c in ("added", "modified", "removed")])
+
+
 def disk_usage(copies: DataFrame, contents: DataFrame, volumes: DataFrame) -> DataFrame:
     held = copies.join(contents.select("sha256", "size"), "sha256").groupBy("volume_path").agg(F.count(F.lit(1)).alias("n_copies"), total("size").alias("n_bytes"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -138,26 +148,52 @@ def kept_samples(samples: DataFrame, n: int = SAMPLES_KEPT) -> DataFrame:
 
 
 def throttled(samples: DataFrame, gap: timedelta = timedelta(minutes=30)) -> DataFrame:
-    """Samples taken when the last one kept of the volume is at least `gap` old.  Each kept sample decides the next, so
-    a volume's samples are folded in order; they arrive sorted and only the last kept time is held."""
+    """Samples taken when the last one kept of the volume is at least `gap` old.  A sample at least `gap` after the one
+    before it is kept whatever came earlier, so a volume falls apart into stretches that are folded by themselves; within
+    one each kept sample decides the next.  Rows arrive sorted, and only the last kept time is held."""
     import pandas as pd
 
     least = gap.total_seconds()
 
     def fold(batches):
-        volume, last = None, None
+        stretch, last = None, None
         for pdf in batches:
             keep = []
-            for v, t in zip(pdf["volume_path"], pdf["sampled_at"], strict=True):
-                take = v != volume or (t - last).total_seconds() >= least
-                volume, last = v, (t if take else last)
+            for v, t in zip(zip(pdf["volume_path"], pdf["stretch"], strict=True), pdf["sampled_at"], strict=True):
+                take = v != stretch or (t - last).total_seconds() >= least
+                stretch, last = v, (t if take else last)
                 keep.append(take)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="stretch")
 
-    ordered = samples.repartition("volume_path").sortWithinPartitions("volume_path", "sampled_at", "id")
+    order = Window.partitionBy("volume_path").orderBy("sampled_at", "id")
+    micros = F.unix_micros(F.col("sampled_at").cast("timestamp"))
+    apart = F.coalesce(micros - F.lag(micros).over(order) >= int(least * 1e6), F.lit(True))
+    marked = samples.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("apart")
+    ordered = marked.repartition("volume_path", "stretch").sortWithinPartitions("volume_path", "stretch", "sampled_at", "id")
     return ordered.mapInPandas(fold, samples.schema)
 
 
+def disk_trends(samples: DataFrame) -> DataFrame:
+    """volume_path, n, first, last, least, most, change, class over the samples kept of each volume; no class for one."""
+    time = F.struct("sampled_at", "id")
+    out = kept_samples(samples).groupBy("volume_path").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("used_pct", time).alias("first"), F.max_by("used_pct", time).alias("last"), F.min("used_pct").alias("least"), F.max("used_pct").alias("most")
+    )
+    change = F.col("last") - F.col("first")
+    return out.withColumns({"change": change, "class": F.when(F.col("n") > 1, trend_class(change))})
+
+
+def types_by_runs(jobs: DataFrame) -> DataFrame:
+    """maintenance_by_type in the order of the page: most runs that ended first."""
+    runs = F.col("n_done") + F.col("n_error")
+    return maintenance_by_type(jobs).withColumn("place", F.row_number().over(Window.orderBy(F.desc(runs), "job_type")))  # a row a type
+
+
+def labels_by_count(labels: DataFrame, versions: DataFrame) -> DataFrame:
+    """label_activity in the order of finished versions, most first."""
+    return label_activity(labels, versions).orderBy(F.desc("n_done"), "label")
+
+
 def label_disks(versions: DataFrame, files: DataFrame, copies: DataFrame, contents: DataFrame) -> DataFrame:
     """label, volume_path, n_contents, n_bytes of the latest finished versions (ties included), contents once a version."""
     latest = latest_by_time(versions, only_done=True).select(F.col("id").alias("version_id"), "label")
