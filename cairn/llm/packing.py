@@ -32,7 +32,7 @@ GROUP, REPACK = 4096, 32
 #: A sequence with this many places left is repacked.
 LOOSE = 32
 #: Fillings tried in the search of a group, besides those of its first dive.
-SEARCH = 2000
+SEARCH = 300
 #: Characters above which a text is encoded in chunks.
 LONG = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -87,8 +87,17 @@ def dominated(stock: Stock, have: tuple[int, ...], waste: int) -> bool:
 
 
 def fillings(stock: Stock, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of the room that waste no more, least waste first.  Bits of reach[i] are the sums that the
-    lengths from the i-th on can make, so no branch is entered that leads nowhere."""
+    """Undominated fillings of the room that waste no more, least waste first, and among those without waste a single
+    piece (which dominates all others) or pairs first.  Bits of reach[i] are the sums that the lengths from the i-th on
+    can make, so no branch is entered that leads nowhere; they are made only if pairs do not do."""
+    if room and stock.mask >> room & 1:
+        yield (room,)
+        return
+    n = stock.largest(room)
+    while 2 * n >= room > 0:
+        if stock.mask >> (room - n) & 1 and (2 * n != room or stock.counts[n] > 1):
+            yield (n, room - n)
+        n = stock.largest(n - 1)
     lengths = []
     n = stock.largest(room)
     while n > 0:
@@ -122,7 +131,7 @@ def fillings(stock: Stock, room: int, most_waste: int) -> Iterator[tuple[int, ..
     for waste in range(min(room, most_waste) + 1):
         if reach[0] >> (room - waste) & 1:
             for have in exact(0, room - waste):
-                if not dominated(stock, have, waste):
+                if (waste or len(have) > 2 or not room) and not dominated(stock, have, waste):
                     yield have
 
 
