@@ -526,7 +526,7 @@ FROM v LEFT JOIN changes USING (id) WHERE created_at >= TIMESTAMP '2001-07-31 02
 # texts and checks
 query(
     "display_texts",
-    """, x AS (SELECT id, CASE WHEN id % 6 = 1 THEN NULL ELSE (id * 7919) % 200000 END AS s, (id * 104729) % 70000000 AS a, sampled_at FROM samples)
+    """, x AS (SELECT id, CASE WHEN id % 6 <> 1 THEN (id * 7919) % 200000 // 360 * 360 + id % 97 END AS s, (id * 104729) % 70000000 AS a, sampled_at FROM samples)
 SELECT id, CASE WHEN s IS NULL THEN '—' WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'min' ELSE printf('%.1fh', s / 3600.0::DOUBLE) END AS duration,
 CASE WHEN s IS NULL THEN '—' WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'min ' || CAST(s % 60 AS VARCHAR) || 's' ELSE printf('%.1fh', s / 3600.0::DOUBLE) END AS duration_split,
 CASE WHEN a < 60 THEN 'agora' WHEN a < 3600 THEN 'há ' || (a // 60) || 'min' WHEN a < 86400 THEN 'há ' || (a // 3600) || 'h' WHEN a // 86400 < 30 THEN 'há ' || (a // 86400) || 'd' WHEN a // 86400 // 30 = 1 THEN 'há 1 mês'
@@ -534,7 +534,7 @@ CASE WHEN a < 60 THEN 'agora' WHEN a < 3600 THEN 'há ' || (a // 60) || 'min' WH
 CASE WHEN a < 10 THEN 'agora' WHEN a < 60 THEN a || 's atrás' WHEN a < 3600 THEN (a // 60) || 'min atrás' WHEN a < 86400 THEN (a // 3600) || 'h atrás' WHEN a < 2592000 THEN (a // 86400) || 'd atrás' ELSE strftime(sampled_at, '%Y-%m-%d') END AS relative,
 CASE WHEN a < 1024 THEN printf('%.1f B', a * 1.0::DOUBLE) WHEN a < 1048576 THEN printf('%.1f KB', a / 1024.0::DOUBLE) ELSE printf('%.1f MB', a / 1048576.0::DOUBLE) END AS size FROM x""",
 )(
-    lambda t: t.samples.select("id", F.when(F.col("id") % 6 != 1, F.col("id") * 7919 % 200000).alias("s"), (F.col("id") * 104729 % 70000000).alias("a"), "sampled_at").select(
+    lambda t: t.samples.select("id", F.when(F.col("id") % 6 != 1, F.floor(F.col("id") * 7919 % 200000 / 360) * 360 + F.col("id") % 97).alias("s"), (F.col("id") * 104729 % 70000000).alias("a"), "sampled_at").select(
         "id", *[X.duration_text(F.col("s").cast("double"), k).alias(n) for k, n in (("whole", "duration"), ("split", "duration_split"))], X.age_text(F.col("a")).alias("age"), X.relative_text(F.col("a"), F.col("sampled_at")).alias("relative"), X.human_bytes(F.col("a")).alias("size"),
     )
 )
