@@ -503,15 +503,18 @@ def test_bilinear_training_learns():
     documents = []
     for _ in range(200):
         w = [rnd.choice([b"a", b"b", b"c", b"d"])]
-        while len(w) < 8:
+        while len(w) < 40:
             w.append(follow[w[-1]] if rnd.random() < 0.9 else rnd.choice([b"a", b"b", b"c", b"d"]))
-        documents.append(np.append(v.units([bytes(x) for x in w]), v.end))
+        documents.append([bytes(x) for x in w])
     trainer = bilinear.Trainer(v, bilinear.begin(v), 1)
-    mean = lambda p: np.mean(np.concatenate([bilinear.Scorer(v, p).log10(bilinear.contexts(d, v.end), d) for d in documents]))
-    before = mean(trainer.p)
+    line = np.concatenate([np.append(v.units(d), v.end) for d in documents])
+    before = bilinear.contexts(line, np.arange(0, len(line), 41), v.end)
+    assert before[0].tolist() == [v.end] * 3 and before[41].tolist() == [v.end] * 3 and before[5].tolist() == line[4:1:-1].tolist()
+    mean = lambda p: bilinear.Scorer(v, p).log10(before, line).mean()
+    at_start = mean(trainer.p)
     for _ in range(6):
-        trainer.learn(documents, 1)
-    assert mean(trainer.p) > before + 0.2
+        trainer.learn(documents, v.units, 1)
+    assert mean(trainer.p) > at_start + 0.2
 
 
 def test_packing(docs, empty):
