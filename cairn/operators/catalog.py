@@ -102,7 +102,7 @@ def differences(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def compare_versions(files: DataFrame, contents: DataFrame, first: int, second: int) -> DataFrame:
     side = lambda i: files.where(F.col("version_id") == i).join(contents.select("sha256", "size"), "sha256", "left")
-    return differences(side(first), side(second), [])
+    return differences(side(first), side(second), []).orderBy("path")
 
 
 def previous_done(versions: DataFrame) -> DataFrame:

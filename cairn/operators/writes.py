@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import os
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes that a copy reads at a time.
+STEP = 1 << 20
+WRITTEN = "path string, size bigint, sha256 string, whole boolean"
+
 
 def numbered(rows: DataFrame, held: DataFrame, order: Sequence[str]) -> DataFrame:
     """The rows with new ids that continue the greatest one held (a sequence reset to the maximum).  Row numbers are made
@@ -78,3 +87,60 @@ def exported(tables: dict[str, DataFrame], folder: str, stamp: str) -> list[str]
     for path, df in zip(paths, tables.values(), strict=True):
         df.write.parquet(path)
     return paths
+
+
+def digest(path: Path) -> str:
+    """SHA-256 of a file, read in steps."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def put(target: Path, parts: Iterable[bytes]) -> tuple[int, str, bool]:
+    """Write a file beside its place, hashing on the way, move it there and read it again: size, digest, whether what is
+    there is what was written.  A task that runs twice leaves one file."""
+    target.parent.mkdir(parents=True, exist_ok=True)
+    beside, seen, size = target.with_name(f"_tmp_{uuid.uuid4().hex}"), hashlib.sha256(), 0
+    try:
+        with open(beside, "wb") as out:
+            for part in parts:
+                out.write(part)
+                seen.update(part)
+                size += len(part)
+        os.replace(beside, target)
+    finally:
+        beside.unlink(missing_ok=True)
+    return size, seen.hexdigest(), digest(target) == seen.hexdigest()
+
+
+def contents_written(rows: DataFrame, root: str) -> DataFrame:
+    """Write rows(path, body) below a folder that every executor sees: path, size, sha256, whole of each file.  Bodies may
+    be plain contents or frames; they are written by the tasks that hold them."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [(p, *put(Path(root, p.lstrip("/")), [b])) for p, b in zip(batch["path"], batch["body"], strict=True)]
+            yield pd.DataFrame(done, columns=["path", "size", "sha256", "whole"])
+
+    return rows.select("path", "body").mapInPandas(run, WRITTEN)
+
+
+def contents_copied(rows: DataFrame, root: str) -> DataFrame:
+    """Copy rows(source, path) below the folder, a step at a time and hashed on the way: path, size, sha256, whole; a source
+    that can't be read has nulls and is not whole."""
+
+    def parts(source: str) -> Iterator[bytes]:
+        with open(Path(root, source.lstrip("/")), "rb") as f:
+            while part := f.read(STEP):
+                yield part
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done: list[tuple] = []
+            for source, path in zip(batch["source"], batch["path"], strict=True):
+                try:
+                    done.append((path, *put(Path(root, path.lstrip("/")), parts(source))))
+                except OSError:
+                    done.append((path, None, None, False))
+            yield pd.DataFrame(done, columns=["path", "size", "sha256", "whole"]).astype({"size": "Int64"})
+
+    return rows.select("source", "path").mapInPandas(run, WRITTEN)

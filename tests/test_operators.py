@@ -231,6 +231,16 @@ def test_tables_are_written(spark, tmp_path):
     assert C.reclaimable_bytes(two.versions, two.files, two.contents).first() == C.reclaimable_bytes(one.versions, one.files, one.contents).first()
 
 
+def test_contents_are_written_and_copied(spark, tmp_path):
+    rows = spark.createDataFrame([("/v/_content/aa/x", b"hello"), ("/v/_content/bb/y", b"")], "path string, body binary")
+    got = {r["path"]: (r["size"], r["sha256"], r["whole"]) for r in W.contents_written(rows, str(tmp_path)).collect()}
+    assert got == {"/v/_content/aa/x": (5, hashlib.sha256(b"hello").hexdigest(), True), "/v/_content/bb/y": (0, hashlib.sha256(b"").hexdigest(), True)}
+    pairs = spark.createDataFrame([("/v/_content/aa/x", "/w/_content/aa/x"), ("/none", "/w/none")], "source string, path string")
+    got = {r["path"]: (r["size"], r["whole"]) for r in W.contents_copied(pairs, str(tmp_path)).collect()}
+    assert got == {"/w/_content/aa/x": (5, True), "/w/none": (None, False)} and (tmp_path / "w/_content/aa/x").read_bytes() == b"hello"
+    assert not list(tmp_path.rglob("_tmp_*"))
+
+
 def test_texts(spark):
     show = lambda c: spark.range(1).select(c).first()[0]
     assert [show(X.duration_text(F.lit(s).cast("double"), k)) for s, k in ((None, "whole"), (59.0, "whole"), (61.0, "whole"), (61.0, "split"), (90.0, "decimal"), (5400.0, "whole"))] == ["—", "59s", "1min", "1min 1s", "1.5min", "1.5h"]
