@@ -373,6 +373,39 @@ def test_near_chains_and_centres(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
 
 
+def test_classes_that_share_a_passage_do_not_meet(spark):
+    """A bucket of unlinked classes with a common passage: all meet in one bucket, no two of them as candidates."""
+    rnd = random.Random(17)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"t{i}x{k}" for k in range(rnd.randint(38, 44)))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + f" more{i}") for i in range(20)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: next(near.sets_of([t], 4)) for i, t in rows}
+    left = spark.createDataFrame([(i, len(sets[i]), i, True, near.parities(sets[i]).tolist()) for i, _ in rows], "rep long, n long, of long, outside boolean, marks array<long>")
+    met = near.meetings(left, texts, 4, 80).distinct().collect()
+    assert {tuple(r) for r in met} == {(2000 + i, i) for i in range(20)}
+    prefixes = near.prefixes(texts, 4, 80).collect()
+    assert len(prefixes) < 60 * len(rows) and max(collections.Counter(r["shingle"] for r in prefixes).values()) == 2
+
+
+def test_prefixes_lose_no_link(spark):
+    rnd = random.Random(19)
+    words_ = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(words_)
+        for k in rnd.sample(range(90), rnd.choice((1, 2, 3, 4, 5))):
+            w[k] = f"e{rnd.randint(0, 5)}"
+        rows.append((i, " ".join(w[: rnd.choice((60, 80, 90))])))
+    sets = {i: next(near.sets_of([t], 4)) for i, t in rows}
+    want = {(b, a) for a, b in itertools.combinations(range(120), 2) if 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - both)}
+    left = spark.createDataFrame([(i, len(sets[i]), i, True, near.parities(sets[i]).tolist()) for i, _ in rows], "rep long, n long, of long, outside boolean, marks array<long>")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    met = near.meetings(left, texts, 4, 80)
+    assert want <= {tuple(r) for r in met.collect()} and len(want) > 100
+    assert {tuple(r) for r in near.confirmed(met, texts, 4, 80).collect()} == want
+
+
 def test_word_hashes_and_long_texts():
     text = "ab cd\tef\n" * 90_000 + "tail"
     got = near.word_hashes(text.encode())[1]

@@ -142,3 +142,29 @@ def test_stages_on_the_smallest_tables(spark):
     predicted = {r["doc_id"] for r in toxicity.score_documents(docs, table(spark, TABLES, "labels")).where("predicted = 0").collect()}
     assert set(ids[1]) == predicted < set(ids[0])
     assert max(collections.Counter(ids[4]).values()) <= 2
+
+
+def test_null_identifiers_and_ties(spark, tmp_path):
+    """Rows without identifier, and many equal rows, through every query."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text, "en", "s0", 0)] * 5 + [(None, None, None, None, None)] * 2 + [(i, text, "en", "s0", 0) for i in range(12)] + [(3, text, "en", "s0", 0)] * 3 + [(50, "other words here", "en", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {name: [r.asDict() for r in query(spark, str(tmp_path)).collect()] for name, query in QUERIES.items()}
+    for name, got in found.items():
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows), name
+    slots = collections.defaultdict(list)
+    for r in found["op4_shard_tree"]:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({r["shard"] for r in found["op4_shard_tree"] if r["doc_id"] is None}) == 1
+    assert all(r["component_id"] == (r["doc_id"] if r["doc_id"] in (None, 50) else 0) for r in found["op5_near_dedup"])
+    assert {(r["keep_id"], r["group_size"]) for r in found["op6_exact_dedup"]} == {(11, 20), (None, 2), (50, 1)}
+    assert all(r["taken"] <= 2 * r["size"] for r in found["op1_mix_sources"])
+    places = collections.defaultdict(list)
+    for r in found["op8_pack_sequences"]:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(places) == 1 and all(sum(n for _, n in v) <= 2048 for v in places.values())
+    packed = P.run(spark, str(tmp_path)).collect()
+    # one of the equal texts by its least identifier, and rows without identifier one of each text that is left
+    assert {r["doc_id"] for r in packed} <= {None, 0, 50}
