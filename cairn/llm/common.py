@@ -51,6 +51,15 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what store() wrote, when all that was read from it is in another stored table."""
+    spark = df.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_names(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator works on, so that extra columns of the input can't clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in keep])

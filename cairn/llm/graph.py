@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import store
+from cairn.llm.common import discard, store
 
 
 def least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -35,9 +35,10 @@ def stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (the least node reachable) for every node of edges(a, b) but the components' own least nodes.
 
-    Edges become stars around the least nodes, which ends it.  Each turn writes a table.
+    Edges become stars around the least nodes, which ends it.  Each turn writes a table, and drops that of the turn before.
     """
     now = store(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while not stars(now):
-        now = store(small_star(large_star(now)), label)
+        before, now = now, store(small_star(large_star(now)), label)
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -6,11 +6,13 @@
 3. Stars: every bucket has a hub, and its classes are candidates of the hub only, so a bucket of n gives n pairs, not
    n squared.  Candidates are confirmed on full sets and linked.
 4. Most buckets then lie in one component.  In the others, a class outside the bucket's main component may still have
-   a partner there, and no link may be lost.  Each class has a parity bitmap: MARK_BITS bits, each the parity of how many
-   of its shingles fall on it.  Bits that differ between two classes are no more than the shingles that only one of
-   them holds, so a join on the bucket whose condition counts them gives only pairs that may reach the threshold; these are
-   confirmed like the rest.  The bound decides nothing alone and drops no link: it tells less the larger the sets, and
-   for sets of over about 2.25 * MARK_BITS shingles nearly every such pair is confirmed.
+   a partner there, and no link may be lost.  The classes of these buckets meet by prefixes: of a set of n shingles,
+   those that fewest of these classes hold come first, and two sets at the threshold share one of their first
+   n - ceil(0.8 n) + 1.  So classes that fill a bucket because they share a passage do not meet: the passage's
+   shingles come last, and shingles that one class holds alone meet nobody.  What meets is checked by size and by
+   parity bitmaps: MARK_BITS bits, each the parity of how many of a class's shingles fall on it.  Bits that differ
+   between two classes are no more than the shingles that only one of them holds, so counting them leaves only pairs
+   that may reach the threshold; these are confirmed like the rest.  Neither bound drops a link.
 5. Components of the links give the classes of documents.
 """
 
@@ -217,14 +219,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return store(both.mapInArrow(compare(size, percent), "a long, b long, linked boolean"), "near-links").where("linked").select("a", "b")
 
 
-def open_buckets(members: DataFrame, known: DataFrame) -> DataFrame:
-    """key, rep, n, of, main: rows of the buckets whose classes, but for the hub that has met them all, are of two or
-    more components.  main is one of these: the least that has links, or the least."""
+def open_classes(members: DataFrame, known: DataFrame) -> DataFrame:
+    """rep, n, of, outside: classes of the buckets whose classes, but for the hub that has met them all, are of two or more
+    components; outside: whether a class is, in one of them, not of the main component (the least that has links, or the
+    least).  Of two classes of one bucket and different components one at least is."""
     whole = known.unionByName(known.select(F.col("component").alias("node"), "component")).distinct()
     rest = members.where(F.col("rep") != F.col("hub")).join(whole, F.col("rep") == F.col("node"), "left")
     rest = rest.select("key", "rep", "n", F.coalesce("component", "rep").alias("of"), F.col("node").isNull().alias("single"))
     found = rest.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min(F.struct("single", "of"))["of"].alias("main"))
-    return rest.join(found.where(F.col("low") < F.col("high")).select("key", "main"), "key").drop("single")
+    rows = rest.join(found.where(F.col("low") < F.col("high")).select("key", "main"), "key")
+    return rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("of").alias("of"), F.bool_or(F.col("of") != F.col("main")).alias("outside"))
+
+
+def class_sets(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 64):
+            sets = [x.view(np.int64) for x in sets_of(batch.column("text").to_pylist(), size)]
+            offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["rep", "shingles"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """rep, shingle: the shingles of each text's prefix that another text holds too."""
+    each = texts.mapInArrow(class_sets(size), "rep long, shingles array<long>").select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = store(each, "near-shingles")
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
+    shared = each.join(held, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("some"))  # of one text
+    # n - ceil(n * percent / 100) + 1 of all, less those that no other text holds, which come first
+    take = F.size("some") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    return shared.where(take > 0).select("rep", F.explode(F.slice("some", F.lit(1), take)).alias("x")).select("rep", "x.shingle")
 
 
 def resolve(members: DataFrame, marks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -232,16 +257,24 @@ def resolve(members: DataFrame, marks: DataFrame, texts: DataFrame, size: int, p
     marks) and texts(doc_id, text)."""
     pairs = members.where((F.col("rep") != F.col("hub")) & may_link(percent, "n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     known = components(confirmed(pairs, texts, size, percent), "near-components")
-    left = store(open_buckets(members, known).join(marks, "rep"), "near-open")
-    others = left.where(F.col("of") != F.col("main")).select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "of", "marks")])
-    met = left.join(others, "key").where((F.col("of") != F.col("hub_of")) & may_link(percent, "n", "hub_n") & within_marks(percent))
-    more = confirmed(met.select(F.greatest("rep", "hub_rep").alias("a"), F.least("rep", "hub_rep").alias("b")), texts, size, percent)
+    left = store(open_classes(members, known).join(marks, "rep"), "near-open")
+    more = confirmed(meetings(left, texts, size, percent), texts, size, percent)
     if more.isEmpty():
         return known
     # stars that are known stand for the links before
     return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-components")
 
 
+def meetings(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs of left(rep, n, of, outside, marks) of different components that share a shingle of their prefixes and
+    may reach the threshold by their sizes and bitmaps."""
+    found = prefixes(texts.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size, percent)
+    found = store(found.join(left, "rep"), "near-prefixes")
+    others = found.where("outside").select("shingle", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "of", "marks")])
+    met = found.join(others, "shingle").where((F.col("of") != F.col("hub_of")) & may_link(percent, "n", "hub_n") & within_marks(percent))
+    return met.select(F.greatest("rep", "hub_rep").alias("a"), F.least("rep", "hub_rep").alias("b"))
+
+
 def near_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, first_hash of every row of docs(doc_id, text): the class of
     near-duplicates by its least doc_id, and the hash of that row's text.
