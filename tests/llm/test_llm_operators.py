@@ -492,15 +492,15 @@ def test_language_model_scores_by_brute_force(docs, spark, monkeypatch):
     least = max(2.0, sum(counts.values()) ** (2 / 3) / language.OWN)
     assert set(v.own) == {w for w, c in counts.items() if c >= least and len(w) <= language.HEAD_BYTES} != set()
 
-    def softmax(rows, bias, h):
-        z = [math.exp(sum(a * b for a, b in zip(row, h)) + c[0]) for row, c in zip(rows.tolist(), bias.tolist())]
+    def softmax(rows, h):
+        z = [math.exp(sum(a * b for a, b in zip(row, [*h, 1.0], strict=True))) for row in rows.tolist()]
         return [x / sum(z) for x in z]
 
     def probabilities(before):
         h = sum(p["context"][u] @ p["position"][k] for k, u in enumerate(before)).tolist()
-        of_cluster, out = softmax(p["cluster"], p["cluster_bias"], h), []
+        of_cluster, out = softmax(p["cluster"], h), []
         for g, a in enumerate(v.starts[:-1]):
-            out += [of_cluster[g] * x for x in softmax(p["unit"][a : v.starts[g + 1]], p["unit_bias"][a : v.starts[g + 1]], h)]
+            out += [of_cluster[g] * x for x in softmax(p["unit"][a : v.starts[g + 1]], h)]
         return out
 
     checked = 0
