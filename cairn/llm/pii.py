@@ -57,6 +57,8 @@ _AT = rf"(?:[{SPACE}]++at[{SPACE}]++|[{SPACE}]*+[\[(]at[\])][{SPACE}]*+|[{SPACE}
 _DOT = rf"(?:[{SPACE}]++dot[{SPACE}]++|[{SPACE}]*+[\[(]dot[\])][{SPACE}]*+|\.)"
 #: An address that is written out: name at host dot com.
 WRITTEN = rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+{_AT}[a-z0-9-]{{1,64}}+(?:{_DOT}[a-z0-9-]{{1,64}}+){{1,4}}+"
+#: What a text needs for such an address: all but the name.
+SPELT = rf"(?i){_AT}[a-z0-9-]{{1,64}}+{_DOT}[a-z0-9-]"
 PLACES = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -235,7 +237,7 @@ def instances(docs: DataFrame) -> DataFrame:
     of words outside all base spans."""
     text = F.col("text")
     some = text.rlike("[0-9@]")
-    spelt = text.rlike(rf"(?i)[{SPACE}\[(]at[{SPACE}\])]|[{SPACE}]@|@[{SPACE}]")
+    spelt = text.rlike(SPELT)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = rows.select(
         "doc_id", F.xxhash64(text).alias("text_hash"), *[matches(text, RULES[k], may_hold(text, k)).alias(k) for k in KINDS],
