@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -397,6 +398,22 @@ query(
 )(lambda t: t.contents.select("sha256", X.stored_size(F.col("size")).alias("stored_size"), X.content_path(F.lit("/x"), F.col("sha256")).alias("content_path"), X.base_name(F.col("stored_at")).alias("base"), X.parent(F.col("stored_at")).alias("folder")))
 query("disk_classes", "SELECT id, CASE WHEN used_pct >= 90 THEN 'critical' WHEN used_pct >= 75 THEN 'warning' ELSE 'ok' END AS class FROM samples")(lambda t: t.samples.select("id", X.disk_class(F.col("used_pct")).alias("class")))
 query("event_windows", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, event_type, count(*) AS n_events, max(value) AS max_value FROM events GROUP BY 1, 2")(lambda t: walk.event_windows(t.events))
+
+
+def streamed(t: Vault) -> DataFrame:
+    """All files as listing files that a stream registers, twice over, the directories of some versions failed."""
+    spark = t.files.sparkSession
+    folder = f"{walk.shared_folder(spark)}/listings-{uuid.uuid4().hex}"
+    rows = t.files.select(
+        "version_id", X.parent(F.col("path")).alias("directory"), F.col("path").alias("Path"), F.col("id").alias("Size"), F.date_format("created_at", "yyyy-MM-dd").alias("ModTime"), F.lit(False).alias("IsDir"), (F.col("version_id") % 37 == 0).alias("failed")
+    )
+    rows.repartition(20).write.json(f"{folder}/in")
+    for _ in range(2):  # the second run is delivered the same files again, and adds nothing
+        walk.register_stream(walk.listings(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state-{uuid.uuid4().hex}", f"{folder}/retry").awaitTermination()
+    return spark.read.schema(walk.FILE).parquet(f"{folder}/out").select("version_id", "path", "size", "mtime", "directory")
+
+
+query("register_stream", "SELECT version_id, path, id AS size, strftime(created_at, '%Y-%m-%d') AS mtime, regexp_replace(path, '/[^/]+$', '') AS directory FROM vf WHERE version_id % 37 <> 0")(streamed)
 SQL["event_windows_stream"] = SQL["event_windows"]
 QUERIES["event_windows_stream"] = lambda spark, sf_dir: walk.windows_of_stream(spark, sf_dir, "events.parquet")
 
