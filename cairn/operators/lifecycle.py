@@ -12,6 +12,8 @@ from cairn.operators.catalog import done, latest_by_id, latest_by_time, total
 #: Edges of the retention tiers, and the time without activity after which a running version is stale.
 EDGES = (timedelta(hours=24), timedelta(days=30), timedelta(days=180))
 STALE = timedelta(hours=6)
+#: Steps that are added up together in a running total.
+STEPS = 1 << 16
 
 
 def at(moment: datetime) -> Column:
@@ -80,14 +82,14 @@ def damage(versions: DataFrame, files: DataFrame, present: DataFrame) -> DataFra
     return done(versions).join(hit, "id").select("id", "label", "n_missing")
 
 
-def by_day(rows: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """The rows with the running total of a value in the order (which begins with created_at), in each group.  Totals of
-    days, of which there are few, are summed up first; then each day adds up its own rows by itself."""
-    rows = rows.withColumn("day", F.to_date("created_at"))
-    upto = Window.partitionBy(*groups).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = rows.groupBy(*groups, "day").agg(F.sum(value).alias("of_day")).select(*groups, "day", F.coalesce(F.sum("of_day").over(upto), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*groups, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("own", F.sum(value).over(inside)).join(days, [*groups, "day"]).withColumn(name, (F.col("before") + F.col("own")).cast("bigint")).drop("day", "own", "before")
+def running_total(rows: DataFrame, groups: list[str], part: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """The rows with the running total of a value in the order, in each group.  `part` rises with the order and has few
+    values: their totals are summed up first, then each part adds up its own rows by itself."""
+    rows = rows.withColumn("part", part)
+    upto = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*groups, "part").agg(F.sum(value).alias("of_part")).select(*groups, "part", F.coalesce(F.sum("of_part").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*groups, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("own", F.sum(value).over(inside)).join(parts, [*groups, "part"]).withColumn(name, (F.col("before") + F.col("own")).cast("bigint")).drop("part", "own", "before")
 
 
 def cleanup_plan(versions: DataFrame, files: DataFrame, contents: DataFrame, copies: DataFrame, volumes: DataFrame, factor: int, threshold: int) -> DataFrame:
@@ -98,27 +100,24 @@ def cleanup_plan(versions: DataFrame, files: DataFrame, contents: DataFrame, cop
     version that holds it, or at once if no version does, from all volumes that have it.  n_ready are the volumes
     that are ready after the step.
     """
-    stale = versions.where(F.col("status").isin("failed", "incomplete")).select("id", F.lit(0).cast("bigint").alias("step"), F.lit(datetime(1, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    stale = versions.where(F.col("status").isin("failed", "incomplete")).select("id", F.lit(0).cast("bigint").alias("step"))
     ranked = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("created_at"), F.desc("id")))
-    old = done(versions).withColumn("rn", ranked).where(F.col("rn") > 1).select("id", "created_at").withColumn("group", F.lit(0))
-    old = by_day(old, ["group"], ["created_at", "id"], F.lit(1), "step").select("id", "step", "created_at")
+    old = done(versions).withColumn("rn", ranked).where(F.col("rn") > 1).select("id", "created_at", F.lit(0).alias("group"))
+    old = running_total(old, ["group"], F.to_date("created_at"), ["created_at", "id"], F.lit(1), "step").select("id", "step")
     steps = stale.unionByName(old)
-    held = files.select(F.col("version_id").alias("id"), "sha256").distinct().join(steps.select("id", "step"), "id", "left")
+    held = files.select(F.col("version_id").alias("id"), "sha256").distinct().join(steps, "id", "left")
     last = held.groupBy("sha256").agg(F.max("step").alias("step"), F.count_if(F.col("step").isNull()).alias("kept"))
-    going = contents.select("sha256", "size").join(last, "sha256", "left").where(F.coalesce("kept", F.lit(0)) == 0)
-    going = going.join(copies.select("sha256", "volume_path"), "sha256").select("volume_path", "size", F.coalesce("step", F.lit(0)).alias("step"))
-    freed = going.groupBy("volume_path", "step").agg(F.sum("size").alias("freed"))
-    # volumes are few: each step meets each of them once
+    going = contents.select("sha256", "size").join(last, "sha256", "left").where(F.coalesce("kept", F.lit(0)) == 0).select("sha256", "size", F.coalesce("step", F.lit(0)).alias("step"))
+    freed = going.join(copies.select("sha256", "volume_path"), "sha256").groupBy("volume_path", "step").agg(F.sum("size").alias("freed"))
+    room = running_total(freed, ["volume_path"], F.floor(F.col("step") / STEPS), ["step"], F.col("freed"), "upto")
+    # each healthy volume's first step with enough room (-1: from the start; null: never); volumes are few
     healthy = volumes.where(~F.col("degraded")).select(F.col("path").alias("volume_path"), "free")
-    # the first step is there even without stale versions: what no version holds goes with whatever is deleted first
-    first = volumes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("step"), F.lit(datetime(1, 1, 1)).cast("timestamp_ntz").alias("created_at"))
-    grid = old.select("step", "created_at").unionByName(first).crossJoin(healthy).join(freed, ["volume_path", "step"], "left").withColumn("freed", F.coalesce("freed", F.lit(0)))
-    ready = by_day(grid, ["volume_path"], ["created_at", "step"], F.col("freed"), "upto").where(F.col("free") + F.col("upto") >= threshold).groupBy("step").agg(F.count(F.lit(1)).alias("n_ready"))
-    ready = grid.select("step").distinct().join(ready, "step", "left").select("step", F.coalesce("n_ready", F.lit(0)).cast("bigint").alias("n_ready"))
-    start = healthy.agg(F.count_if(F.col("free") >= threshold).alias("at_start"))
-    end = ready.agg(F.min(F.when(F.col("n_ready") >= factor, F.col("step"))).alias("end"))
-    plan = steps.select("id", "step").join(ready, "step").crossJoin(start).crossJoin(end)  # one row each
-    return plan.where((F.col("at_start") < factor) & (F.col("step") <= F.coalesce("end", F.col("step")))).select("step", "id", "n_ready")
+    enough = F.min(F.when(F.col("free") + F.col("upto") >= threshold, F.col("step")))
+    ready = healthy.join(room, "volume_path", "left").groupBy("volume_path").agg(F.when(F.first("free") >= threshold, F.lit(-1).cast("bigint")).otherwise(enough).alias("at"))
+    ready = ready.agg(F.sort_array(F.collect_list("at")).alias("ready"))  # one row
+    end = F.coalesce(F.get("ready", F.lit(factor - 1)), F.lit(2**62))
+    plan = steps.crossJoin(ready).where((end >= 0) & (F.col("step") <= end))
+    return plan.select("step", "id", F.size(F.filter("ready", lambda at: at <= F.col("step"))).cast("bigint").alias("n_ready"))
 
 
 def beyond_rotation(names: DataFrame, keep: int = 7) -> DataFrame:
