@@ -15,8 +15,16 @@ WORD = f"[^{SPACE}]+"
 LOCAL_SHARED = "/tmp/checkpoints/cairn"
 
 
+#: Bytes of files a core below which a table is dealt to all cores.
+SMALL = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.  A small file may be one row group, which one task reads; its rows are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
 
 
 def text_or_empty(column: str = "text") -> Column:
