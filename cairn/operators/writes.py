@@ -9,21 +9,27 @@ from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that a copy reads at a time.
 STEP = 1 << 20
+#: The square root of the number of ranges in which new ids are counted.
+RANGES = 16
 WRITTEN = "path string, size bigint, sha256 string, whole boolean"
 
 
 def numbered(rows: DataFrame, held: DataFrame, order: Sequence[str]) -> DataFrame:
     """The rows with new ids that continue the greatest one held (a sequence reset to the maximum).  Row numbers are made
-    in ranges of the order: counts of the ranges give each its first number."""
+    in ranges of the order: counts of the ranges give each its first number.  A range is told from the row alone, so
+    counts and rows agree however often and in whatever partitions they are computed."""
     keys = [F.col(c) for c in order]
-    ranged = rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    # the rows of the least hashes are drawn evenly: their keys cut the order
+    drawn = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(RANGES * RANGES - 1)
+    cuts = drawn.agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("cuts"))  # one row
+    ranged = rows.crossJoin(cuts).withColumn("part", range_of(F.col("cuts"), F.struct(*keys))).drop("cuts")
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
     firsts = counts.select("part", before.alias("before"))
     last = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
@@ -31,6 +37,13 @@ def numbered(rows: DataFrame, held: DataFrame, order: Sequence[str]) -> DataFram
     return placed.withColumn("id", (F.col("last") + F.col("before") + F.col("at")).cast("bigint")).drop("part", "at", "before", "last")
 
 
+def range_of(cuts: Column, key: Column) -> Column:
+    """How many of the sorted cuts are not above the key: first of every RANGES-th one, then of those that follow it."""
+    upto = lambda some: F.size(F.filter(some, lambda cut: cut <= key))
+    coarse = F.filter(cuts, lambda _, i: (i + 1) % RANGES == 0)
+    return upto(coarse) * RANGES + upto(F.slice(cuts, upto(coarse) * RANGES + 1, RANGES - 1))
+
+
 def upserted(files: DataFrame, new: DataFrame) -> DataFrame:
     """files(id, version_id, path, sha256, mtime) after new(version_id, path, sha256, mtime, ordinal): a path that is there
     keeps its id and takes the new content, another one gets the next id; of a repeated path the last counts."""

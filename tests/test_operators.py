@@ -220,6 +220,25 @@ def test_upserts_keep_ids(spark):
     assert sorted(r["path"] for r in W.registered_once(files, new).where("version_id = 1").collect()) == ["q"]
 
 
+def test_new_ids_have_no_gaps_whatever_the_partitions(spark):
+    """Partitions that are joined by size or computed twice neither lose a row nor repeat a number."""
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("version_id"), F.concat(F.lit("/n"), F.col("id") * 7919 % 30_000).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    held = spark.createDataFrame([(41,)], "id bigint")
+    adviser = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(adviser, "200k")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = W.numbered(rows.repartition(20, "sha256"), held, ["version_id", "path"]).collect()
+    finally:
+        spark.conf.unset(adviser)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(r["version_id"], r["path"]) for r in sorted(got, key=lambda r: r["id"])] == sorted((i % 3, f"/n{i * 7919 % 30_000}") for i in range(30_000))
+    assert sorted(r["id"] for r in got) == list(range(42, 30_042))
+    few = spark.createDataFrame([(2, "b"), (None, "b"), (2, None)], "version_id bigint, path string")
+    assert [tuple(r) for r in W.numbered(few, held, ["version_id", "path"]).select("id", "version_id", "path").orderBy("id").collect()] == [(42, None, "b"), (43, 2, None), (44, 2, "b")]
+    assert W.numbered(few.limit(0), held, ["version_id", "path"]).count() == 0
+
+
 def test_tables_are_written(spark, tmp_path):
     table = spark.range(100)
     (path,) = W.exported({"t": table}, str(tmp_path), "2026-01-01")
