@@ -22,14 +22,27 @@ def content_path(volume: Column, sha: Column) -> Column:
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
+def one_decimal(x: Column, ties_up: bool = False) -> Column:
+    """A number with one decimal, rounded by its exact binary value as Python and C do; ties to even, or up as in the
+    pages (format_string rounds the shortest decimal text of a number, with ties up)."""
+    size = F.abs(x.cast("double"))
+    low = F.floor(size * 10)
+    tie = low * 2 + 1  # in twentieths; near a tie both differences are exact
+    over = (size * 16 - tie) + size * 4
+    up = (over > 0) | ((over == 0) & (F.lit(True) if ties_up else low % 2 == 1))
+    tenths = low + up.cast("bigint")
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(size < 2.0**48, shown).when(x.isNotNull(), F.format_string("%.1f", x.cast("double")))
+
+
 def human_bytes(size: Column) -> Column:
     """One decimal in steps of 1024 up to PB."""
     out = None
     for i, unit in enumerate(UNITS):
-        shown = F.format_string(f"%.1f {unit}", size / float(1024**i))
+        shown = F.concat(one_decimal(size / float(1024**i)), F.lit(f" {unit}"))
         test = size < 1024 ** (i + 1)
         out = F.when(test, shown) if out is None else out.when(test, shown)
-    return out.otherwise(F.format_string("%.1f PB", size / float(1024**5)))
+    return out.otherwise(F.concat(one_decimal(size / float(1024**5)), F.lit(" PB")))
 
 
 def base_name(path: Column) -> Column:
@@ -90,9 +103,11 @@ def duration_text(seconds: Column, minutes: str = "whole") -> Column:
     middle = {
         "whole": F.concat(whole, F.lit("min")),
         "split": F.concat(whole, F.lit("min "), F.floor(seconds % 60 + 0.5).cast("string"), F.lit("s")),
-        "decimal": F.format_string("%.1fmin", seconds / 60.0),
+        "decimal": F.concat(one_decimal(seconds / 60.0), F.lit("min")),
     }[minutes]
-    return F.when(seconds.isNull(), NONE).when(seconds < 60, F.format_string("%.0fs", seconds)).when(seconds < 3600, middle).otherwise(F.format_string("%.1fh", seconds / 3600.0))
+    pages = minutes != "decimal"
+    few = F.format_string("%.0fs", seconds if pages else F.rint(seconds))
+    return F.when(seconds.isNull(), NONE).when(seconds < 60, few).when(seconds < 3600, middle).otherwise(F.concat(one_decimal(seconds / 3600.0, ties_up=pages), F.lit("h")))
 
 
 def age_text(seconds: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 from datetime import datetime, timedelta, timezone
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
@@ -270,3 +271,16 @@ def test_texts(spark):
     begin, end = X.utc_range(F.lit(datetime(2026, 7, 1).date()), "Europe/Lisbon")
     assert (show(begin), show(end)) == (datetime(2026, 6, 30, 23), datetime(2026, 7, 1, 23))
     assert show(X.quoted_name(F.lit("a b*ü.txt"))) == "a%20b%2A%C3%BC.txt"
+
+
+def test_one_decimal_is_rounded_by_its_exact_value(spark):
+    """Ties, and numbers whose shortest text looks like one, as Python writes them; the pages round exact ties up."""
+    numbers = [0.0, 0.04, 0.05, 0.15, 0.25, 0.35, 0.75, 1.45, 2.5, 9.95, 103.25, 1023.95, 0.1 * 3, 123456.05, 2.0**40 + 0.25, 2.0**52, 1e22, *(k / 20 for k in range(-9, 2000, 2)), *(s / 3600 for s in range(180, 400_000, 360))]
+    shown = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.one_decimal(F.col("x")).alias("t"), X.one_decimal(F.col("x"), ties_up=True).alias("up")).collect()
+    assert [(r["x"], r["t"]) for r in shown if r["t"] != f"{r['x']:.1f}"] == []
+    exact = lambda x: str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    assert [(r["x"], r["up"]) for r in shown if r["x"] < 1e15 and r["up"] != exact(r["x"])] == []
+    sizes = [(6400, "6.2 KB"), (6912, "6.8 KB"), (105728, "103.2 KB"), (1310720, "1.2 MB"), (1023, "1023.0 B"), (2**60, "1024.0 PB"), (None, None)]
+    assert [r["t"] for r in spark.createDataFrame(sizes, "n bigint, want string").select(X.human_bytes(F.col("n")).alias("t")).collect()] == [t for _, t in sizes]
+    show = lambda c: spark.range(1).select(c).first()[0]
+    assert [show(X.duration_text(F.lit(s), k)) for s, k in ((2.5, "decimal"), (2.5, "whole"), (75.0, "decimal"), (4500.0, "decimal"), (4500.0, "whole"))] == ["2s", "3s", "1.2min", "1.2h", "1.3h"]
