@@ -4,24 +4,29 @@ Units are the document's end, words frequent enough for vectors of their own, an
 ending; they stand in the order of their counts, cut into clusters of about equal counts.  The POSITIONS units before a
 place, each through its position's matrix, give a vector h; P(unit) is P(cluster | h) times P(unit | cluster, h), two
 softmax layers of products with h, so the exact normaliser takes about two square roots of the units.  Both layers are
-trained by noise-contrastive estimation, with noise drawn from counts.
+trained by noise-contrastive estimation, with noise drawn from counts, on every place of the documents.
+
+A minibatch is a stretch of text: a unit's vector is looked up once for all places after it.  Places share
+the noise of clusters, and those whose targets are of one cluster the noise of its units.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 
 POSITIONS, DIMENSIONS = 3, 24
-#: Noise samples: clusters for a whole minibatch, units for each example.
-CLUSTER_NOISE, UNIT_NOISE = 32, 5
-BATCH, RATE = 256, 0.15
+#: Noise samples of a minibatch: clusters, and units of each cluster that has targets.
+CLUSTER_NOISE, UNIT_NOISE = 24, 5
+#: Places of a minibatch: of those learnt so far one in GROWTH, within these bounds.
+BATCH, GROWTH, RATE = (256, 8192), 32, 0.08
+#: Places whose words are looked up together.
+POOL = 1 << 15
 #: Places whose logits are in memory at once.
 SLICE = 2048
-#: Places that follow each other are drawn together.
-RUN = 32
 END = b""  # no word is empty
 ENDINGS, ENDING_BYTES = 4096, 3
 Parameters = dict[str, np.ndarray]
@@ -32,6 +37,11 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
 
 
+def endings(words: Iterable[bytes], n: int) -> np.ndarray:
+    """The classes of n such words."""
+    return np.fromiter((zlib.crc32(w[-ENDING_BYTES:]) for w in words), np.int64, n) % ENDINGS
+
+
 class Vocabulary:
     """own words and their counts, counts of the ending classes, and documents; numbers of units by count."""
 
@@ -98,7 +108,8 @@ class Trainer:
         self.v, self.p = v, {k: x.copy() for k, x in p.items()}
         self.squares = {k: np.full(x.shape[0] if x.ndim == 2 else x.shape, 1e-2, dtype=np.float32) for k, x in p.items()}
         self.touched = {k: np.zeros(x.shape[0]) for k, x in p.items()}
-        self.rng = np.random.default_rng(seed)
+        self.place = {k: np.zeros(x.shape[0], dtype=np.int64) for k, x in p.items()}  # of the rows of a step among them
+        self.rng, self.seen = np.random.default_rng(seed), 0  # places learnt
         mass = np.add.reduceat(np.exp(v.log_share), v.starts[:-1])
         self.before, self.noise_cdf = np.concatenate(([0.0], v.upto)), np.cumsum(mass)
         self.cluster_prior = (np.log(CLUSTER_NOISE) + np.log(mass)).astype(np.float32)
@@ -106,72 +117,104 @@ class Trainer:
 
     def rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
         """Gradients of rows, several of one row summed, with a step for each row."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums, at = np.add.reduceat(grads[order], first, axis=0), at[first]
-        self.squares[name][at] += (sums * sums).mean(axis=1)
-        self.p[name][at] += RATE * sums / np.sqrt(self.squares[name][at])[:, None]
-        self.touched[name][at] += 1
-
-    def step(self, before: np.ndarray, target: np.ndarray) -> None:
-        p, v, rng, n = self.p, self.v, self.rng, len(target)
-        matrix = p["position"].reshape(-1, DIMENSIONS)
-        vectors = p["context"][before.ravel()].reshape(n, -1)  # the positions' vectors side by side
-        h = np.concatenate((vectors @ matrix, np.ones((n, 1), dtype=np.float32)), axis=1)
-        # clusters: one draw of noise for all examples
+        place, width = self.place[name], grads.shape[1]
+        place[at] = 1
+        found = np.flatnonzero(place)
+        place[found] = np.arange(len(found))
+        cells = (place[at] * width)[:, None] + np.arange(width)
+        sums = np.bincount(cells.ravel(), grads.ravel(), len(found) * width).reshape(-1, width).astype(np.float32)
+        place[found] = 0
+        squares = self.squares[name][found] + np.einsum("ij,ij->i", sums, sums) / width
+        self.squares[name][found] = squares
+        self.p[name][found] += sums * (RATE / np.sqrt(squares))[:, None]
+        self.touched[name][found] += 1
+
+    def step(self, line: np.ndarray, places: np.ndarray) -> None:
+        """One step from these places of a stretch of units, each of which has POSITIONS units before it."""
+        p, v, rng, size = self.p, self.v, self.rng, len(line)
+        vectors, matrices = p["context"][line], p["position"]
+        beside = np.concatenate(matrices, axis=1)  # the matrices side by side
+        ahead = [slice(POSITIONS - 1 - k, size - 1 - k) for k in range(POSITIONS)]  # the units k + 1 before each place
+        columns = [slice(k * DIMENSIONS, (k + 1) * DIMENSIONS) for k in range(POSITIONS)]
+        moved = vectors @ beside
+        h = np.ones((size - POSITIONS, DIMENSIONS + 1), dtype=np.float32)
+        h[:, :-1] = sum(moved[a, c] for a, c in zip(ahead, columns, strict=True))
+        # places by their targets, and so by their clusters
+        places = places[np.argsort(narrow(line[places], len(v)), kind="stable")]
+        target, h = line[places], h[places - POSITIONS]
         g = v.cluster[target]
+        groups = changes(g)
+        parts = [slice(a, b) for a, b in zip(groups.tolist(), [*groups[1:].tolist(), len(g)], strict=True)]
+        # clusters: one draw of noise for all places
         noise = np.minimum(np.searchsorted(self.noise_cdf, rng.random(CLUSTER_NOISE) * self.noise_cdf[-1]), len(self.noise_cdf) - 1)
         goal, others = p["cluster"][g], p["cluster"][noise]
-        true = 1 - sigmoid((h * goal).sum(axis=1) - self.cluster_prior[g])
+        true = 1 - sigmoid(np.einsum("ij,ij->i", h, goal) - self.cluster_prior[g])
         false = sigmoid(h @ others.T - self.cluster_prior[noise])
         dh = true[:, None] * goal - false @ others
-        self.rows("cluster", np.concatenate((g, noise)), np.concatenate((true[:, None] * h, -(false.T @ h))))
-        # units: noise of the target's own cluster for each example
-        low, high = self.before[v.starts[g]], self.before[v.starts[g + 1]]
-        drawn = np.searchsorted(v.upto, low[:, None] + rng.random((n, UNIT_NOISE)) * (high - low)[:, None], side="right")
-        drawn = np.clip(drawn, v.starts[g][:, None], v.starts[g + 1][:, None] - 1)
+        self.rows("cluster", np.concatenate((g[groups], noise)), np.concatenate(([true[a] @ h[a] for a in parts], -(false.T @ h))))
+        # units: one draw of noise for the places of a cluster
+        c = g[groups]
+        low, high = self.before[v.starts[c]], self.before[v.starts[c + 1]]
+        drawn = np.searchsorted(v.upto, low[:, None] + rng.random((len(c), UNIT_NOISE)) * (high - low)[:, None], side="right")
+        drawn = np.clip(drawn, v.starts[c][:, None], v.starts[c + 1][:, None] - 1)
         goal, others = p["unit"][target], p["unit"][drawn]
-        true = 1 - sigmoid((h * goal).sum(axis=1) - self.unit_prior[target])
-        false = sigmoid(np.matmul(others, h[:, :, None])[:, :, 0] - self.unit_prior[drawn])
-        dh += true[:, None] * goal - np.matmul(false[:, None, :], others)[:, 0]
-        self.rows("unit", np.concatenate((target, drawn.ravel())), np.concatenate((true[:, None] * h, (-false[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]))))
+        true = 1 - sigmoid(np.einsum("ij,ij->i", h, goal) - self.unit_prior[target])
+        false = np.concatenate([h[a] @ x.T for a, x in zip(parts, others, strict=True)])
+        false = sigmoid(false - np.repeat(self.unit_prior[drawn], np.diff(groups, append=len(g)), axis=0))
+        dh += true[:, None] * goal - np.concatenate([false[a] @ x for a, x in zip(parts, others, strict=True)])
+        pushed = np.concatenate([false[a].T @ h[a] for a in parts])
+        self.rows("unit", np.concatenate((target, drawn.ravel())), np.concatenate((true[:, None] * h, -pushed)))
         # h: context vectors and position matrices
-        dh = dh[:, :DIMENSIONS]
-        dposition = (vectors.T @ dh).reshape(p["position"].shape)
-        self.rows("context", before.ravel(), (dh @ matrix.T).reshape(-1, DIMENSIONS))
+        back = np.zeros((size, DIMENSIONS), dtype=np.float32)
+        back[places] = dh[:, :DIMENSIONS]
+        after = np.zeros((size, POSITIONS * DIMENSIONS), dtype=np.float32)  # what comes back to a unit from the places after it
+        for a, c in zip(ahead, columns, strict=True):
+            after[a, c] = back[POSITIONS:]
+        dposition = (vectors.T @ after).reshape(DIMENSIONS, POSITIONS, DIMENSIONS).transpose(1, 0, 2)
+        self.rows("context", line, after @ beside.T)
         self.squares["position"] += dposition * dposition
         p["position"] += 0.3 * RATE * dposition / np.sqrt(self.squares["position"])
         self.touched["position"] += 1
 
-    def learn(self, documents: Iterable[list[bytes]], units: Callable[[list[bytes]], np.ndarray], share: int) -> None:
-        """Minibatches of one run of RUN places in `share`, drawn from all documents, the end of each among them.  Only the
-        words of these runs, and those before, are looked up."""
-        held_before: list[np.ndarray] = []
-        held_target: list[np.ndarray] = []
-        held, end = 0, self.v.end
+    def learn(self, documents: Iterable[list[bytes]], units: Callable[[list[bytes]], np.ndarray], times: int = 1) -> None:
+        """Minibatches of all places of all documents, the end of each among them; each takes so many steps."""
+        held: list[list[bytes]] = []
+        n = 0
         for words in documents:
-            n = len(words) + 1
-            for run in np.flatnonzero(self.rng.integers(0, share, size=-(-n // RUN)) == 0).tolist():
-                first, last = run * RUN, min(n, (run + 1) * RUN)
-                lead = max(0, first - POSITIONS)
-                some = np.full(POSITIONS + last - first, end, dtype=np.int64)  # ends before the start, and at the end
-                found = units(words[lead:last])
-                some[POSITIONS - (first - lead) : POSITIONS - (first - lead) + len(found)] = found
-                held_before.append(np.stack([some[POSITIONS - 1 - k : len(some) - 1 - k] for k in range(POSITIONS)], axis=1))
-                held_target.append(some[POSITIONS:])
-                held += last - first
-            if held >= 64 * BATCH:
-                self.batches(held_before, held_target)
-                held_before, held_target, held = [], [], 0
+            held.append(words)
+            n += len(words) + 1
+            if n >= POOL:
+                self.batches(held, units, times)
+                held, n = [], 0
         if held:
-            self.batches(held_before, held_target)
-
-    def batches(self, before: list[np.ndarray], target: list[np.ndarray]) -> None:
-        a, b = np.concatenate(before), np.concatenate(target)
-        order = self.rng.permutation(len(b))
-        for i in range(0, len(b), BATCH):
-            self.step(a[order[i : i + BATCH]], b[order[i : i + BATCH]])
+            self.batches(held, units, times)
+
+    def batches(self, documents: list[list[bytes]], units: Callable[[list[bytes]], np.ndarray], times: int) -> None:
+        # each document has ends before it, which are no places to learn from
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        starts = np.cumsum(sizes + POSITIONS + 1) - sizes - 1
+        line = np.full(int(starts[-1] + sizes[-1] + 1), self.v.end, dtype=np.int64)
+        line[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)] = units(list(itertools.chain.from_iterable(documents)))
+        is_place = np.ones(len(line), dtype=bool)
+        is_place[(starts[:, None] - 1 - np.arange(POSITIONS)).ravel()] = False
+        a = POSITIONS
+        while a < len(line):
+            b = a + min(max(self.seen // GROWTH, BATCH[0]), BATCH[1])
+            places = POSITIONS + np.flatnonzero(is_place[a:b])
+            for _ in range(times if len(places) else 0):
+                self.step(line[a - POSITIONS : b], places)
+            self.seen += len(places)
+            a = b
+
+
+def narrow(x: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below a size in 16 bits if they fit, which sort in linear time."""
+    return x.astype(np.uint16) if size <= 1 << 16 else x
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
 def averaged(start: np.ndarray, sums: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -5,9 +5,9 @@ before: the end, words with vectors of their own (those seen at least N ** (2/3)
 OWN * N ** (1/3) of them, which grows with the corpus), and classes of all other words by their ending, in which a word
 has its add-one share.  No word is left out.
 
-Training reads all training rows in each round: every partition starts from the round's parameters, learns from one
-place in SHARE of all its documents in minibatches, and sends the rows it changed; their means, weighted by how often
-each was changed, begin the next round.  A task that is run again draws the same places.
+Training learns from every place of every training row, once: each row's text tells its round, every partition starts
+from the round's parameters, learns from all places of its documents of the round in minibatches, and sends the rows it
+changed; their means, weighted by how often each was changed, begin the next round.
 
 Counts of frequent words (a bounded table) are broadcast; those of all other words are joined.
 """
@@ -33,8 +33,8 @@ from cairn.llm.tokens import small
 HEAD, HEAD_BYTES = 1 << 18, 64
 #: Different words that a task counts before it sends them on.
 FLUSH = 400_000
-#: Words with vectors (see above), and how the rounds go.
-OWN, SHARE, ROUNDS = 64, 12, 2
+#: Words with vectors (see above), and the rounds over which the rows are dealt.
+OWN, ROUNDS = 64, 2
 SLICES = 16
 CHANGED = "name string, slice int, rows binary, weights binary, means binary"
 
@@ -83,7 +83,7 @@ class Model(NamedTuple):
         at = np.fromiter(map(rank.__getitem__, found), dtype=np.int64, count=len(found))
         units = self.units[at]
         other = np.flatnonzero(at < 0)
-        units[other] = self.vocabulary.classes[[bilinear.ending(found[i]) for i in other.tolist()]]
+        units[other] = self.vocabulary.classes[bilinear.endings(map(found.__getitem__, other.tolist()), len(other))]
         return at, units
 
 
@@ -103,7 +103,7 @@ def learn_part(shared, round_: int):
         trainer = bilinear.Trainer(v, model.parameters, seed=(TaskContext.get().partitionId() << 8) + round_)
 
         documents = (words(text) for batch in small(batches) for text in batch.column("text").to_pylist())
-        trainer.learn(documents, lambda found: model.known(found, rank)[1], SHARE)
+        trainer.learn(documents, lambda found: model.known(found, rank)[1])
         for name, x in trainer.p.items():
             changed = np.flatnonzero(trainer.touched[name])
             for s in range(SLICES):
@@ -180,7 +180,8 @@ def learn(learnt: DataFrame, counts: DataFrame, train_docs: int, head: int = HEA
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shapes = {name: x.shape for name, x in model.parameters.items()}
     for round_ in range(rounds if train_docs else 0):
-        changed = learnt.mapInArrow(learn_part(spark.sparkContext.broadcast(model), round_), CHANGED)
+        own = learnt.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == round_)
+        changed = own.mapInArrow(learn_part(spark.sparkContext.broadcast(model), round_), CHANGED)
         rows = changed.repartition(min(parts, SLICES), "slice").mapInArrow(sum_parts(shapes), CHANGED).collect()  # parameters once
         sums: dict[str, np.ndarray] = {}
         weights: dict[str, np.ndarray] = {}
@@ -201,7 +202,6 @@ def score_rows(shared):
         model = shared.value
         rank, scorer = model.rank(), bilinear.Scorer(model.vocabulary, model.parameters)
         row = TaskContext.get().partitionId() << 36
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
             cuts = np.cumsum([len(t) for t in texts]) // TOGETHER
@@ -209,7 +209,7 @@ def score_rows(shared):
                 n_tokens, n_known, base, score, tail = score_group(model, rank, scorer, texts[a:b])
                 some = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + b - a)), some.column("doc_id"), some.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score), pa.array(tail, tail_type)],
+                    [pa.array(np.arange(row, row + b - a)), some.column("doc_id"), some.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score), tail],
                     names=[f.split()[0] for f in ROWS.split(", ")],
                 )
                 row += b - a
@@ -231,9 +231,10 @@ def score_group(model: Model, rank: dict[bytes, int], scorer: bilinear.Scorer, t
     score = total(np.where(in_class, gains - model.class_size[units], 0.0))
     known = total((at >= 0).astype(np.float64)).astype(np.int64) + (model.n_docs > 0)
     other = np.flatnonzero(at < 0)
-    tail: list[list[dict]] = [[] for _ in texts]
-    for (i, w), m in Counter(zip(of[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True)).items():
-        tail[i].append({"word": w, "m": m})
+    rare = Counter(zip(of[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True))  # in the texts' order
+    ends = np.cumsum(np.bincount(np.fromiter((i for i, _ in rare), np.int64, len(rare)), minlength=n))
+    listed = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int32())], names=["word", "m"])
+    tail = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), listed)
     # each text and its end, one after the other
     starts = np.cumsum(sizes + 1) - sizes - 1
     line = np.full(len(flat) + n, v.end, dtype=np.int64)

@@ -529,6 +529,36 @@ def test_language_model_beats_its_base(spark):
     assert (found["s"] - found["b"]) / found["n"] > 0.2
 
 
+def test_every_place_is_learnt_once(spark, monkeypatch):
+    """All words of all documents, and their ends, are targets once; and over the rounds no word that precedes another is
+    left with the vector that it began with."""
+    rnd = np.random.default_rng(3)
+    documents = [[b"w%d" % i for i in rnd.integers(0, 300, size=n)] for n in (0, 1, 2, 700, 40, 0, 9000, 3)]
+    counts = collections.Counter(w for d in documents for w in d)
+    v = bilinear.Vocabulary(list(counts), list(counts.values()), np.zeros(bilinear.ENDINGS), len(documents))
+    seen, step = collections.Counter(), bilinear.Trainer.step
+    found = []
+
+    def watched(self, line, places):
+        seen.update(line[places].tolist())
+        found.extend(map(tuple, line[places[:, None] - np.arange(bilinear.POSITIONS + 1)].tolist()))
+        step(self, line, places)
+
+    monkeypatch.setattr(bilinear.Trainer, "step", watched)
+    bilinear.Trainer(v, bilinear.begin(v), 1).learn(documents, v.units)
+    assert seen == collections.Counter({v.end: len(documents)} | {v.own[w]: c for w, c in counts.items()})
+    line = np.concatenate([np.append(v.units(d), v.end) for d in documents])
+    starts = np.cumsum([0, *(len(d) + 1 for d in documents[:-1])])
+    assert sorted(found) == sorted(map(tuple, np.column_stack((line, bilinear.contexts(line, starts, v.end))).tolist()))
+
+    texts = spark.createDataFrame([(" ".join(f"u{(i * 7 + k * 13) % 2000}" for k in range(40)),) for i in range(100)], "text string")
+    words = texts.selectExpr("explode(split(text, ' ')) w").selectExpr("cast(w AS binary) word").groupBy("word").count().withColumnRenamed("count", "c")
+    model = language.learn(texts, words, 100)
+    begun, last = bilinear.begin(model.vocabulary)["context"], {r["w"] for r in texts.selectExpr("element_at(split(text, ' '), -1) w").collect()}
+    own = [model.vocabulary.own[w] for w in model.vocabulary.own if w.decode() not in last]
+    assert len(own) > 300 and (model.parameters["context"][own] != begun[own]).any(axis=1).all()
+
+
 def test_bilinear_training_learns():
     rnd = np.random.default_rng(0)
     v = bilinear.Vocabulary([b"a", b"b", b"c", b"d"], [400] * 4, np.zeros(bilinear.ENDINGS), 200)
